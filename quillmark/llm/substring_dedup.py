@@ -49,14 +49,19 @@ def byte_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
     cut = (gear(data, offsets) >> np.uint32(32 - MASK_BITS)) == 0
+    inside = (data & 0xC0) == 0x80  # never between the bytes of a character
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[1:] = cut
+    edge[:-1] &= ~inside
     edge[offsets] = True
     edges = np.flatnonzero(edge)
     gaps = np.diff(edges)
     if len(gaps) and gaps.max() > LONGEST:
         more = [np.arange(edges[i] + LONGEST, edges[i + 1], LONGEST) for i in np.flatnonzero(gaps > LONGEST)]
-        edges = np.sort(np.concatenate([edges, *more]))
+        more = np.concatenate(more)
+        for _ in range(3):
+            more -= inside[more]
+        edges = np.unique(np.concatenate([edges, more]))
     starts, ends = edges[:-1], edges[1:]
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
