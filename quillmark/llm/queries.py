@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe_dp, kn_quality, langid, line_dedup, mixing, rans, substring_dedup
+from quillmark.llm import bpe_dp, jaccard_join, kn_quality, langid, line_dedup, mixing, rans, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_and_read(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_gear_chunks": op2_gear_chunks,
     "op3_bpe_prefix_dp": op3_bpe_prefix_dp,
     "op4_ppm_language": op4_ppm_language,
+    "op6_shingle_links": op6_shingle_links,
     "op7_rans_shards": op7_rans_shards,
     "op8_kn_quality": op8_kn_quality,
     "op9_line_chunks": op9_line_chunks,
