@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
@@ -66,6 +67,15 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of ids up to which a list is broadcast; longer ones are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def limited(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if they are few enough, as they are otherwise."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that do not see it already."""
     root = Path(__file__).resolve().parents[2]

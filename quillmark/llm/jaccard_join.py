@@ -30,8 +30,6 @@ SHINGLE = 5
 #: A shingle is frequent from so many short lists on; at most FREQUENT_MOST of them are
 #: kept apart (the bound rises with the table), which limits the broadcast to 8 MB.
 FREQUENT_LEAST, FREQUENT_MOST = 32, 1_000_000
-#: Lists of documents up to this length are broadcast, longer ones joined by shuffle.
-BROADCAST_IDS = 500_000
 U64 = np.uint64
 
 
@@ -182,17 +180,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _limited(ids: DataFrame) -> DataFrame:
-    """Broadcast if its size allows, as it is otherwise."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that link. Every shingle of the smaller set that the
     merge didn't settle is probed in the other's sorted array by binary search."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = io.staged(ids.join(nodes, "node").select("node", "rep"), "pair_nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(_limited(named), "rep").select("node", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(io.limited(named), "rep").select("node", "text")
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +238,7 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # a doc_id under which another text is the first of its class stays
     copies = io.staged(copies.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "shingle_copies")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    reps = known.join(_limited(copies), "doc_id", "left_anti")
+    reps = known.join(io.limited(copies), "doc_id", "left_anti")
 
     counts = short_lists(spark, reps, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") >= FREQUENT_LEAST)
     counts = io.staged(counts, "frequent")

@@ -243,7 +243,7 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
         (F.col("q")[1] + F.greatest(F.lit(LEAST_BITS), UPPER_IQR * spread)).alias("high"),
     )
     inside = F.coalesce(F.col("log2_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return rows.join(bands, "lang", "left").select(
+    return rows.join(F.broadcast(bands), "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"), "lang", "log2_ppl", "low", "high",
     )

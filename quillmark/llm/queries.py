@@ -10,13 +10,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe_dp, jaccard_join, kn_quality, langid, line_dedup, mixing, rans, substring_dedup
+from quillmark.llm import bpe_dp, jaccard_join, kn_quality, langid, line_dedup, lm_scoring, mixing, mtree, rans, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_scoring.score(spark, table(spark, sf_dir, "documents"), good)
+
+
 def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(spark, table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -54,9 +64,11 @@ def op10_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cross_entropy": op1_cross_entropy,
     "op2_gear_chunks": op2_gear_chunks,
     "op3_bpe_prefix_dp": op3_bpe_prefix_dp,
     "op4_ppm_language": op4_ppm_language,
+    "op5_mtree_topk": op5_mtree_topk,
     "op6_shingle_links": op6_shingle_links,
     "op7_rans_shards": op7_rans_shards,
     "op8_kn_quality": op8_kn_quality,
