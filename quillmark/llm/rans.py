@@ -9,6 +9,7 @@ decoded ids are each covered by a checksum. Numpy steps all blocks of a shard at
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -219,7 +220,7 @@ class Tokenizer:
     """
 
     #: Entries of one generation of the lookup table; two generations are held.
-    LIMIT = 400_000
+    LIMIT = 650_000
     #: Characters that form a pre-token of their own after a letter.
     MARKS = frozenset(",.;:!?")
 
@@ -360,6 +361,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocab_path: str, path: st
                 names=["part", "seq", "n_ids", "n_docs", "data"],
             )
 
+        gc.disable()  # nothing here forms cycles, and the lookup tables are large
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
@@ -372,6 +374,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocab_path: str, path: st
                         held, keys, size, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
+        gc.enable()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
