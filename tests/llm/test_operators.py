@@ -1,0 +1,365 @@
+"""Each operator against a brute-force version, with nulls, ties, repeats and empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.llm import bpe_dp, io, jaccard_join, kn_quality, langid, line_dedup, lm_scoring, mixing, mtree, rans, substring_dedup
+from quillmark.llm.textkit import ASCII_LOWER
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, word string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def texts():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh éß") for _ in range(r.randint(1, 7))).strip() or "x" for _ in range(120)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.randint(20, 90))) for _ in range(20)]
+    out = [None, "", " \n\t", "one", "One  two", "a b c d e", "A b\tc d e", "Σ ÉÇ 🙂 don't 12,345 <|endoftext|>", "x" * 3000, "ab " * 4000]
+    for b in base:
+        w = b.split(" ")
+        out += [b, b.upper(), " ".join(w[:-1] + ["changed"]), " ".join(w[: len(w) // 2] + ["other"] * 5 + w[len(w) // 2 :])]
+    block = "First shared line of the block\nSecond shared line of the block\nThird one here\nFourth one there\nFifth at last"
+    out += [f"{base[i]}\n{block}\n{base[i + 1]}" for i in range(3)] + [block, block, "\n".join([base[0]] * 5), "\r\nx\n\ny\n"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    t = texts()
+    rows = [(i, x, ["en", "de", None][i % 3] if x else None, "s", len(x or ""), 1, "w") for i, x in enumerate(t)]
+    rows += [rows[12], rows[12], (None, t[15], "en", None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5, "n_chars").cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_bpe_equals_the_library(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.ids, r.decoded) for r in bpe_dp.encode_decode(spark, docs, path).collect())
+    want = []
+    for i, t in rows_of(docs):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i if i is not None else -1, ids, lib.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
+    assert bpe_dp.encode_decode(spark, none, path).count() == 0
+
+
+def test_bpe_dp_on_random_strings():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own, r = Tokenizer.from_file(path), bpe_dp.load(open(path, "rb").read()), random.Random(3)
+    for _ in range(1500):
+        t = "".join(r.choice("aabcdehitnorsth '.é1σΣ\n\t🙂-") for _ in range(r.randrange(80)))
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_rans_round_trip_and_starts(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rans.encode_and_read(spark, docs, path).collect()]
+    want, at = [], 0
+    for i, t in sorted(rows_of(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    key = lambda x: (x[1], x[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert rans.encode_and_read(spark, none, path).count() == 0
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (10, 1), (5000, 3), (140_000, 60_000), (300_000, 300)])
+def test_rans_shard(n, k):
+    ids = np.random.default_rng(n).integers(0, k, n).astype(np.uint32) ** 2 % 70_000
+    data = rans.encode(ids, np.array([7]), np.array([True]), np.array([n]))
+    shard = rans.Shard(data)
+    assert (shard.ids() == ids).all()
+    for a, b in [(0, 1), (n // 2, n), (max(0, n - 3), n)]:
+        assert (shard.ids_between(a, b) == ids[a:b]).all()
+    broken = bytearray(data)
+    broken[-1] ^= 1
+    with pytest.raises(rans.Corrupt):
+        rans.Shard(bytes(broken)).ids()
+
+
+def shingle_set(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and sets[x][0] is not None and sets[y][0] is not None and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(x)] = min(least.get(find(x), i), i)
+    return sorted((-1 if i is None else i, len(s), None if i is None else least[find(x)]) for x, (i, s) in enumerate(sets))
+
+
+def test_jaccard_components(spark, docs, none):
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_documents(spark, docs).collect())
+    assert got == brute_components(rows_of(docs))
+    assert jaccard_join.link_documents(spark, none).count() == 0
+
+
+def test_jaccard_family_of_edited_copies(spark):
+    """Copies near the threshold, linked to their origin, to each other or to nothing."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base if i % 3 else rows[r.randrange(len(rows))][1].split(" "))
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(spark, df).collect())
+    assert got == brute_components(rows)
+
+
+def test_topk_equals_brute_force(spark):
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(6, 8))
+    data = [(i, [float(x) for x in centers[i % 6] + 0.2 * r.normal(size=8)]) for i in range(700)]
+    data += [(700 + i, data[50][1]) for i in range(150)]  # ties
+    data += [(900, None), (901, [None] + [1.0] * 7), (902, [float("nan")] * 8), (903, []), (950, [1.0, 2.0]), (951, [2.0, 2.0]), (100, data[100][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in mtree.top_k(spark, df).collect())
+    ok = {i: np.floor(np.array(v) * 256).astype(np.int64) for i, v in data if v and None not in v and np.isfinite(v).all()}
+    want = []
+    for i, q in ok.items():
+        if i % 50 == 0:
+            best = sorted((-int(q @ x), j) for j, x in ok.items() if j != i and len(x) == len(q))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert mtree.top_k(spark, df.limit(0)).count() == 0
+
+
+def test_quality_base_counts(spark, docs, none):
+    got = {(r.doc_id, r.n_words): (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in kn_quality.judge(spark, docs).collect()}
+    for i, t in rows_of(docs):
+        t = t or ""
+        w = WORD.findall(t)
+        lines, seen, dup = t.split("\n"), set(), 0
+        for x in lines:
+            if WORD.search(x):
+                dup += x in seen
+                seen.add(x)
+        win = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        many = collections.Counter(win)
+        covered = {k + j for k, x in enumerate(win) if many[x] > 1 for j in range(8)}
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        assert got[i, len(w)] == (sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered), failed)
+    assert kn_quality.judge(spark, none).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    r = np.random.default_rng(1)
+    keys, counts = np.unique(r.zipf(1.5, 5000) % (1 << 20), return_counts=True)
+    m = kn_quality.Model(keys, counts)
+    assert np.isfinite(m.log2).all() and (m.log2 <= 0).all()
+    ctx = keys >> 5
+    for c in np.unique(ctx)[:50]:
+        assert np.exp2(m.log2[ctx == c]).sum() <= 1 + 1e-9
+
+
+def test_language_identification(spark, none):
+    r = random.Random(4)
+    words = {"en": ["the", "and", "with", "thing", "house", "water"], "de": ["und", "der", "nicht", "schön", "haus", "wasser"]}
+    rows = [(i, " ".join(r.choice(words[g]) for _ in range(30)), g if i % 5 else None) for i in range(300) for g in [["en", "de"][i % 2]]]
+    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "123 !!", None), (None, "und der nicht", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(spark, df).collect()
+    for x in out:
+        if x.doc_id is None:
+            assert x.held_out and x.lang_pred == "de"
+        elif x.doc_id >= 1000:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+        else:
+            assert x.lang_pred == ["en", "de"][x.doc_id % 2] and 0 <= x.score <= 1
+            assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+    assert langid.identify(spark, none).count() == 0
+    blank = langid.identify(spark, df.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {x.lang_pred for x in blank} == {"und"}
+
+
+def test_code_lengths_equal_plain_ppm():
+    texts_ = ["abracadabra abra", "the cat sat", "abba zebra"]
+    counts = [collections.Counter() for _ in range(2)]
+    for g, t in enumerate(texts_[:2]):
+        b = b" " * langid.ORDER + bytes(langid._FOLD[list(t.encode())])
+        for i in range(langid.ORDER, len(b)):
+            counts[g][int.from_bytes(b[i - langid.ORDER : i + 1], "big")] += 1
+    lang = np.array([g for g in (0, 1) for _ in counts[g]])
+    trees = langid.Trees(["a", "b"], lang, np.array([k for c in counts for k in c], np.uint32), np.array([n for c in counts for n in c.values()], float))
+
+    def plain(g, ctx, s):
+        spent = 0.0
+        for k in range(len(ctx), -1, -1):
+            c = ctx[len(ctx) - k :]
+            seen = collections.Counter()
+            for key, n in counts[g].items():
+                b = key.to_bytes(langid.ORDER + 1, "big")
+                if b[langid.ORDER - k : langid.ORDER] == c:
+                    seen[b[-1]] += n
+            if seen:
+                total = sum(seen.values()) + len(seen)
+                if s in seen:
+                    return spent - np.log2(seen[s] / total)
+                spent -= np.log2(len(seen) / total)
+        return spent + 8.0
+
+    data = np.frombuffer(b"".join(t.encode() for t in texts_), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts_])
+    got = trees.code_lengths(data, offsets)
+    for row, t in enumerate(texts_):
+        b = b" " * langid.ORDER + bytes(langid._FOLD[list(t.encode())])
+        for g in (0, 1):
+            total = 0.0
+            for i in range(langid.ORDER, len(b)):
+                total += plain(g, b[i - langid.ORDER : i], b[i])
+            assert abs(total - got[row, g]) < 1e-6
+
+
+def test_line_dedup(spark, docs, none):
+    out = {r.doc_id: r for r in line_dedup.dedup(spark, docs).collect()}
+    source = dict(rows_of(docs))
+    assert set(out) == set(source)
+    cut = {i: r for i, r in out.items() if r.n_removed}
+    assert cut
+    for i, r in out.items():
+        if not r.n_removed:
+            assert r.text == source[i]
+        else:
+            assert len(r.text.encode()) + r.removed_bytes == len(source[i].encode())
+    # what is cut from one text is still there, in an earlier one
+    kept = "\n".join(r.text or "" for r in out.values())
+    for i in cut:
+        for line in set(source[i].split("\n")) - set(out[i].text.split("\n")):
+            assert line in kept
+    assert line_dedup.dedup(spark, none).count() == 0
+
+
+def test_line_chunks_resist_shifts():
+    lines = [f"line number {i} of the text".encode() for i in range(60)]
+    whole = b"\n".join(lines)
+    moved = b"\n".join([b"inserted"] + lines)
+    digests = []
+    for t in (whole, moved):
+        digests.append(line_dedup.line_chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[4])
+    assert len(set(digests[0]) & set(digests[1])) >= len(digests[0]) - 2
+
+
+def test_gear_chunks(spark, docs, none):
+    r = np.random.default_rng(0)
+    a = r.integers(97, 122, 6000).astype(np.uint8)
+    b = np.concatenate([r.integers(97, 122, 37).astype(np.uint8), a])
+    h = substring_dedup.gear(a, np.array([0, 3000, 6000]))
+    plain = 0
+    for i, x in enumerate(a[:3000].tolist()):
+        plain = (plain * 2 + int(substring_dedup._GEAR[x])) % (1 << 32)
+        assert plain == h[i]
+    cuts = []
+    for t, shift in ((a, 0), (b, 37)):
+        _, s, e = substring_dedup.byte_chunks(t, np.array([0, len(t)]))
+        assert (e > s).all() and e[-1] == len(t) and (s[1:] == e[:-1]).all()
+        cuts.append(set((e - shift).tolist()))
+    assert len(cuts[0] & cuts[1]) >= len(cuts[0]) - 2
+    spans = substring_dedup.repeated_spans(spark, docs).collect()
+    source = {i: (t or "").encode() for i, t in rows_of(docs)}
+    every = b"\0".join(v for v in source.values())
+    assert spans
+    for x in spans:
+        part = source[x.doc_id][x.start : x.end]
+        part.decode()
+        assert len(part) >= substring_dedup.LEAST_SPAN and part[:40] in every
+    assert substring_dedup.report(spark, none).count() == 0
+
+
+def test_cross_entropy_difference(spark, docs, none):
+    rows = [(i, "alpha beta gamma delta" if i % 2 else "one two three four") for i in range(200)] + [(500, None), (501, ""), (None, "alpha beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    target = df.filter("doc_id % 4 = 1").select("doc_id")
+    out = {r.doc_id: r for r in lm_scoring.score(spark, df, target).collect()}
+    assert out[1].score < 0 < out[2].score
+    assert out[500].n_tokens == 0 and out[500].score is None and out[501].score is None
+    assert abs(out[1].target_bits - out[1].background_bits - out[1].score) < 1e-12
+    p = np.exp2(-lm_scoring.losses(np.random.default_rng(0).poisson(0.01, (lm_scoring.VOCAB + 1, lm_scoring.VOCAB))).astype(float)).sum(axis=1)
+    assert np.allclose(p, 1, atol=1e-3)
+    assert lm_scoring.score(spark, none, target).count() == 0
+
+
+def test_mixing_meets_targets(spark, none):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["good", "fine", "solid"] if i % 4 else ["bad", "junk", "spam"]) for _ in range(40))) for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 400, 3)] + [(5, None, 0), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    out, names = mixing.mix(spark, df, labels, {"q1t0": 0.6, "q0t0": 0.4})
+    assert names == ["q0t0", "q1t0"]
+    out = out.cache()
+    total = out.agg(F.sum(mixing.TOKENS)).first()[0]
+    for k, want in enumerate((0.4, 0.6)):
+        got = out.agg(F.sum(F.col("rate") * F.col(mixing.TOKENS) * F.col(mixing.POST)[k])).first()[0] / total
+        assert abs(got - want) < 0.01
+    assert out.agg(F.min("rate")).first()[0] >= 0 and out.count() == 402
+    assert mixing.realised(out).columns == ["doc_id", "text"]
+    same, names = mixing.mix(spark, df, labels.limit(0))
+    assert names == [] and same.select("rate").distinct().collect()[0][0] == 1.0
+    assert mixing.mix(spark, none, labels)[0].count() == 0
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+def test_pipeline_keeps_columns(spark, docs, tmp_path):
+    import corpus_pipeline as c
+
+    rows = docs.drop("n", "word").filter("doc_id is not null")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(12, 1, 0), (16, 0, 0), (20, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, f in c.STAGES[:-1]:
+        before = {r.doc_id for r in d.select("doc_id").collect()}
+        d = io.staged(f(spark, d, str(tmp_path)), name)
+        assert d.columns == rows.columns and {r.doc_id for r in d.select("doc_id").collect()} <= before
+    out = c.STAGES[-1][1](spark, d, str(tmp_path)).collect()
+    ids = {r.doc_id: r for r in out}
+    text = {r.doc_id: r.text for r in d.collect()}
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, r in ids.items():
+        want = " ".join(map(str, lib.encode(text[i], add_special_tokens=False).ids))
+        assert r.ids_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert ASCII_LOWER[65] == 97
