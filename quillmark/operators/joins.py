@@ -71,7 +71,7 @@ def bands(h: Column, n: int) -> Column:
     """The n bit bands of a 64-bit hash, each with its number."""
     edges = [64 * i // n for i in range(n + 1)]
     return F.array(*[
-        F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", h, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"))
+        F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", h, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("bits"))
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))
     ])
 
