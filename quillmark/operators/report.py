@@ -36,10 +36,8 @@ def robust_tpr(df: DataFrame, condition: str = "condition", fpr: float = m.FPR)
 def per_generator_tpr(df: DataFrame, generator: str = "generator", fpr: float = m.FPR, y: str = "label", s: str = "score") -> DataFrame:
     """TPR of each generator against all authentic rows: the threshold is that of the
     shared negatives, so they needn't be repeated for every generator."""
-    neg = df.filter(F.col(y) == 0).groupBy(F.col(s).alias("s")).count()
     points = m.roc_points(df.withColumn("__one", F.lit(1)), ["__one"], y, s)
     thr = points.filter(F.col("fp") <= F.lit(fpr) * F.col("nn")).agg(F.min("s").alias("thr"))
-    del neg
     return df.filter(F.col(y) == 1).crossJoin(F.broadcast(thr)).groupBy(generator).agg(F.count("*").alias("n"), F.avg((F.col(s) >= F.col("thr")).cast("double")).alias("tpr"))  # thr is one row
 
 

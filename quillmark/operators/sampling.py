@@ -1,8 +1,7 @@
 """Caps, splits, balancing and shards, all decided by hash order.
 
-Ranks within a group come from a window over the group. Where a cap is small, rows past
-it are dropped by a hash cut first (``pre_thinned``), so that a hot group doesn't sort
-in one task.
+Ranks within a group come from a window over the group; Spark's window group limit
+drops rows past a small cap before the shuffle.
 """
 
 from __future__ import annotations
@@ -57,10 +56,8 @@ def assign_splits(df: DataFrame, heldout: list[str], fraction: float, group: str
 
 def balance_within(df: DataFrame, strata: list[str], y: str, key: str, seed: int = SEED) -> DataFrame:
     """Per stratum as many rows of either class as the scarcer one has."""
-    own = W.partitionBy(*strata)
     sizes = df.groupBy(*strata).agg(F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("__a"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__g"))
     rows = df.join(sizes, strata).withColumn("__take", F.least("__a", "__g")).filter("__take > 0")
-    del own
     return ranked(rows, [*strata, y], key, seed, "__rn").filter("__rn <= __take").drop("__rn", "__take", "__a", "__g")
 
 
