@@ -32,6 +32,8 @@ PER_PIVOT = 512
 #: Queries that one task holds for a tree.
 QUERY_BLOCK = 2048
 SLACK = 1e-6
+#: Stand for a score and an id that no vector has.
+NOTHING, NO_ID = -float(1 << 62), 1 << 62
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -83,46 +85,75 @@ def build(ids: np.ndarray, x: np.ndarray, points: np.ndarray) -> dict:
     }
 
 
-def search(tree: dict, query_id: int, q: np.ndarray, most: float, k: int, best: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
-    """The k best (-score, vec_id) of ``best`` and the tree, ascending, and how many
-    distances were computed."""
-    point = np.append(q.astype(np.float64), 0.0)
-    base = float(point @ point) + most
-    computed = 1
+def search(tree: dict, ids: np.ndarray, q: np.ndarray, most: float, best: np.ndarray, best_ids: np.ndarray) -> int:
+    """Improve the k best scores (rows of ``best``, descending, ties by id) of a block of
+    queries by a tree; returns how many inner products were computed.
 
-    def bound(distance):
-        """Score that can't be exceeded at that distance or more."""
-        return (base - np.square(np.maximum(distance, 0.0))) / 2 + SLACK * base
-
-    def open_(limit, least) -> bool:
-        return len(best) < k or (-limit, least) <= best[-1]
+    The page with the best bound over the block comes first. A page is opened for those
+    queries whose bound reaches their k-th score, and of a leaf's entries those take
+    part that the stored parent distances leave in reach of any of them.
+    """
+    points = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
+    base = np.einsum("ij,ij->i", points, points) + most
+    exact = points[:, :-1]  # whole numbers; their sums stay below 2**53
+    computed = 0
 
-    d0 = float(_distances(tree["center"][None], point)[0])
-    heap = [(-float(bound(d0 - tree["radius"])), 0, d0, tree)]
+    def bound(distance: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Score that can't be exceeded at that distance or more."""
+        scale = base[rows] if distance.ndim == 1 else base[rows][:, None]
+        return (scale - np.square(np.maximum(distance, 0.0))) / 2 + SLACK * scale
+
+    def gaps(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        p = points[rows]
+        d2 = np.einsum("ij,ij->i", p, p)[:, None] + np.einsum("ij,ij->i", centers, centers)[None] - 2 * p @ centers.T
+        return np.sqrt(np.maximum(d2, 0.0))
+
+    def in_reach(limit: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
+        kth = best[rows, -1]
+        return (limit > kth) | ((limit >= kth) & (least <= best_ids[rows, -1])) | (limit - kth >= -SLACK * base[rows])
+
+    every = np.arange(len(q))
+    d0 = gaps(every, tree["center"][None])[:, 0]
+    limit = bound(d0 - tree["radius"], every)
+    heap = [(-float(limit.max()), 0, tree, every, d0, limit)]
     serial = 0
     while heap:
-        top, _, d, page = heapq.heappop(heap)
-        if not open_(-top, page["least"]):
+        _, _, page, rows, d, limit = heapq.heappop(heap)
+        ok = in_reach(limit, rows, page["least"])
+        rows, d = rows[ok], d[ok]
+        if not len(rows):
             continue
-        gap = np.abs(d - page["parent"])
-        kth = -best[-1][0] if len(best) == k else -np.inf
+        gap = np.abs(d[:, None] - page["parent"][None])
         if "ids" in page:
-            pick = np.flatnonzero((bound(gap) >= kth) & (page["ids"] != query_id))
-            computed += len(pick)
-            if len(pick):
-                scores = page["x"][pick] @ q
-                ok = np.flatnonzero(scores >= kth)
-                best = sorted([*best, *((-int(s), int(i)) for s, i in zip(scores[ok], page["ids"][pick[ok]], strict=True))])[:k]
+            near = bound(gap, rows) >= best[rows, -1][:, None]
+            pick = np.flatnonzero(near.any(axis=0))
+            rows = rows[near.any(axis=1)]
+            if not len(pick) or not len(rows):
+                continue
+            scores = exact[rows] @ page["x"][pick].astype(np.float64).T
+            computed += scores.size
+            own = page["ids"][pick]
+            scores[ids[rows][:, None] == own[None]] = NOTHING
+            better = np.flatnonzero((scores >= best[rows, -1][:, None]).any(axis=1))
+            if len(better):
+                rows, scores = rows[better], scores[better]
+                k = best.shape[1]
+                every_score = np.concatenate([best[rows], scores], axis=1)
+                every_id = np.concatenate([best_ids[rows], np.broadcast_to(own, scores.shape)], axis=1)
+                order = np.lexsort((every_id, -every_score), axis=-1)[:, :k]
+                best[rows] = np.take_along_axis(every_score, order, axis=1)
+                best_ids[rows] = np.take_along_axis(every_id, order, axis=1)
             continue
-        pick = np.flatnonzero(bound(gap - page["radii"]) >= kth)
-        computed += len(pick)
-        distance = _distances(page["centers"][pick], point)
-        limits = bound(distance - page["radii"][pick])
-        for e, dist, limit in zip(pick, distance, limits, strict=True):
-            if open_(float(limit), int(page["leasts"][e])):
+        possible = bound(gap - page["radii"][None], rows) >= best[rows, -1][:, None]
+        for e in np.flatnonzero(possible.any(axis=0)):
+            some = rows[possible[:, e]]
+            dist = gaps(some, page["centers"][e][None])[:, 0]
+            limit = bound(dist - page["radii"][e], some)
+            ok = in_reach(limit, some, int(page["leasts"][e]))
+            if ok.any():
                 serial += 1
-                heapq.heappush(heap, (-float(limit), serial, float(dist), page["kids"][e]))
-    return best, computed
+                heapq.heappush(heap, (-float(limit[ok].max()), serial, page["kids"][e], some[ok], dist[ok], limit[ok]))
+    return computed
 
 
 def pivots_of(rows: DataFrame, n: int, most: float, dim: int) -> np.ndarray:
@@ -185,14 +216,17 @@ def _visit(spark: SparkSession, asked: DataFrame, index: DataFrame, most: float,
     right = index.select(F.col("cell").alias("cell"), F.col("tree").alias("tree"), "pages").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(trees):
-            root = pickle.loads(trees["pages"].iloc[0])
-            for i, q, s, v in zip(queries["query_id"], queries["q"], queries["kth"], queries["kth_id"], strict=True):
-                known = [] if pd.isna(s) else [(-int(s), int(v))] * k  # only better ones are of use
-                best, _ = search(root, int(i), np.asarray(q, dtype=np.int64), most, k, known)
-                out += [(int(i), v2, -s2) for s2, v2 in best if (s2, v2) not in known]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        if not len(queries) or not len(trees):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        known = queries["kth"].notna().to_numpy()
+        kth = np.where(known, queries["kth"].fillna(0).to_numpy(np.float64), NOTHING)
+        kth_id = np.where(known, queries["kth_id"].fillna(0).to_numpy(np.int64), NO_ID)
+        best, best_ids = np.repeat(kth[:, None], k, axis=1), np.repeat(kth_id[:, None], k, axis=1)
+        ids = queries["query_id"].to_numpy(np.int64)
+        search(pickle.loads(trees["pages"].iloc[0]), ids, np.stack(queries["q"].to_numpy()), most, best, best_ids)
+        fresh = (best > NOTHING) & ~((best == kth[:, None]) & (best_ids == kth_id[:, None]))
+        row, col = np.nonzero(fresh)
+        return pd.DataFrame({"query_id": ids[row], "vec_id": best_ids[row, col], "score": best[row, col].astype(np.int64)})
 
     keys = ["cell", "tree", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND)
