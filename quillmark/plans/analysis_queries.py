@@ -156,3 +156,35 @@ def _(spark, sf):
     g = grid(spark, sf)
     other = g.select("condition", "image_idx", F.col("score").alias("other"))
     return g.filter("k >= 2").join(other, ["condition", "image_idx"]).select("condition", "image_idx", F.round(F.col("score") + F.col("other"), 9).alias("s"))
+
+
+@query("M14_evidence_quality")
+def _(spark, sf):
+    from quillmark.operators.models import evidence_quality
+
+    b = branch(spark, sf).withColumn("ok", ((F.col("a") >= 0) == (F.col("label") == 1)).cast("int")).withColumn("m", F.abs("a"))
+    return evidence_quality(b.filter("row_id % 4 = 0"), b, ["m", "b", "is_distorted"], "ok").select("path", F.round("eqi", 6).alias("eqi"))
+
+
+@query("M19_R23_content_blind")
+def _(spark, sf):
+    from quillmark.operators.models import confound_gate, content_blind_auc
+
+    m = manifest(spark, sf).withColumn("log_area", F.log2(F.col("width").cast("double") * F.col("height")))
+    return confound_gate(content_blind_auc(m, ["width", "height", "log_area"], "label", "path"), 0.6, 0.75)
+
+
+@query("M20_resolution_tree")
+def _(spark, sf):
+    from quillmark.operators.models import resolution_leak
+
+    m = manifest(spark, sf)
+    return resolution_leak(m.filter("row_id % 2 = 0"), m.filter("row_id % 2 = 1"), ["width", "height"], "label")
+
+
+@query("M22_confound_removal")
+def _(spark, sf):
+    from quillmark.operators.models import probe_auc, remove_direction
+
+    e = table(spark, sf, "embeddings").withColumn("c", (F.col("label") == 3).cast("int"))
+    return probe_auc(remove_direction(e, "embedding", "c", 2), "embedding", "c", 64)
