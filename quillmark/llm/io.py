@@ -71,9 +71,14 @@ def drop(df: DataFrame) -> None:
 BROADCAST_IDS = 500_000
 
 
+def few(ids: DataFrame) -> bool:
+    """Whether a list of ids is short enough to be broadcast."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def limited(ids: DataFrame) -> DataFrame:
     """``ids`` with a broadcast hint if they are few enough, as they are otherwise."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if few(ids) else ids
 
 
 def ship(spark: SparkSession) -> None:

@@ -111,13 +111,19 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     repeated = chunks.groupBy("digest").agg(F.min(place).alias("canon"), F.max(place).alias("last")).filter("canon <> last")
     repeated = io.staged(repeated.select("digest", "canon"), "line_repeats")
     copies = chunks.join(repeated, "digest").filter((F.col("doc_id") != F.col("canon.doc_id")) | (F.col("start") != F.col("canon.start"))).select("digest", "doc_id", "start", "end")
+    copies = io.staged(copies, "line_copies")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = repeated.groupBy(F.col("canon.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("digest", F.col("canon.start").alias("start"), F.col("canon.end").alias("end"))).alias("places")
     )
-    firsts = _cut_bytes(spark, keyed.join(places, "doc_id").select("text", "places"))
+    # texts are shuffled for the documents concerned only, while their list is short
+    holders = io.limited(repeated.select(F.col("canon.doc_id").alias("doc_id")).distinct())
+    firsts = _cut_bytes(spark, keyed.join(holders, "doc_id", "left_semi").join(places, "doc_id").select("text", "places"))
     wanted = copies.join(firsts, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "bytes")).alias("__cuts"))
-    joined = docs.join(wanted.withColumnRenamed("doc_id", "__doc"), docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    ids = copies.select("doc_id").distinct()
+    apart = io.few(ids)
+    touched = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(*docs.columns) if apart else docs
+    joined = touched.join(wanted.withColumnRenamed("doc_id", "__doc"), touched["doc_id"] == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
     where = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("removed_bytes", T.LongType())])
@@ -150,4 +156,9 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             cols = [texts if k == where else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(size)], names=[*names, *REMOVED])
 
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    if apart:
+        zero = F.lit(0).cast("long")
+        rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*docs.columns, zero.alias("n_removed"), zero.alias("removed_bytes"))
+        out = out.unionByName(rest)
+    return out
