@@ -84,8 +84,9 @@ def set_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long")
 
 
-def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, node, n): the short-list entries of every document of ``reps``."""
+def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray, whole: bool = False) -> DataFrame:
+    """(token, doc_id, node, n): the short-list entries of every document of ``reps``,
+    or those of all its lists if ``whole``."""
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +96,11 @@ def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray) -> D
             return common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
 
         for batch in batches:
-            for _, _, sets in _each_set(batch.column(0)):
-                sets = [s for s in sets if len(s)]
-                parts = [s[: short_size(len(s))] for s in sets]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, sets in _each_set(batch.column(1)):
+                full = [k for k, s in enumerate(sets) if len(s)]
+                docs_, sets = ids[a:b][full], [sets[k] for k in full]
+                parts = sets if whole else [s[: short_size(len(s))] for s in sets]
                 if len(common) and parts:
                     hit = often(np.concatenate(parts))
                     ends = np.cumsum([len(p) for p in parts])
@@ -109,19 +112,21 @@ def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(tokens.view(np.int64)),
+                        pa.array(np.repeat(docs_, sizes)),
                         pa.array(np.repeat(np.array([node_of(s) for s in sets], np.int64), sizes)),
                         pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)),
                     ],
-                    names=["token", "node", "n"],
+                    names=["token", "doc_id", "node", "n"],
                 )
 
-    return reps.select("text").mapInArrow(run, "token long, node long, n int")
+    return reps.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, node long, n int")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
     """Entries of lists with two or more of them, and each list's first node.
 
-    Rows come sorted by (token, node); single entries are dropped as they stream by.
+    Rows come sorted by (token, doc_id, node); single entries are dropped as they stream
+    by. First comes the smallest doc_id: what others were copied from tends to be older.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +150,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            token, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
             if held is not None:
                 token, node, n = np.append(held[0], token), np.append(held[1], node), np.append(held[2], n)
             held = (token[-1:], node[-1:], n[-1:])
@@ -154,7 +159,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield emit(*held, None)
 
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, center long")
+    return rows.repartition("token").sortWithinPartitions("token", "doc_id", "node").mapInArrow(run, "token long, node long, n int, center long")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -180,9 +185,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. Every shingle of the smaller set that the
-    merge didn't settle is probed in the other's sorted array by binary search."""
+VERIFIED = "a long, b long, linked boolean, overlap long, rest array<long>"
+
+
+def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, with_rest: bool = False) -> DataFrame:
+    """(a, b, linked, overlap, rest) of each of ``pairs`` (a, b).
+
+    The shingles of a are probed in b's sorted array by binary search; ``rest`` holds
+    those that b lacks, for pairs that don't link, if ``with_rest``.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = io.staged(ids.join(nodes, "node").select("node", "rep"), "pair_nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(io.limited(named), "rep").select("node", "text")
@@ -190,25 +201,25 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            ok = np.zeros(len(a), dtype=bool)
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
+                a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 left_sets, right_sets = (sets_of(*string_buffers(part.column(c))) for c in (2, 3))
-                for k, (x, y) in enumerate(zip(left_sets, right_sets, strict=True), at):
+                out = []
+                for k, (x, y) in enumerate(zip(left_sets, right_sets, strict=True)):
                     # rows of other texts under the same doc_id aren't meant
                     if not len(x) or not len(y) or node_of(x) != a[k] or node_of(y) != b[k]:
                         continue
-                    if len(x) > len(y):
-                        x, y = y, x
-                    t = needed(len(x), len(y))
-                    if len(x) >= t:
-                        found = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        ok[k] = int((y[found] == x).sum()) >= t
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+                    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                    i = int(hit.sum())
+                    linked = i >= needed(len(x), len(y))
+                    out.append((int(a[k]), int(b[k]), linked, i, x[~hit].view(np.int64) if with_rest and not linked else None))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "overlap", "rest"])
 
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, VERIFIED)
 
 
 def _reach(c: Column, n: Column, m: Column) -> Column:
@@ -217,13 +228,32 @@ def _reach(c: Column, n: Column, m: Column) -> Column:
     def rest(x: Column) -> Column:
         return F.ceil(x * 3 / 4) - 1
 
-    return c + F.greatest(rest(n), rest(m)) >= F.ceil((n + m) * 3 / 7)
+    return c + F.greatest(rest(n), rest(m)) >= _required(n, m)
+
+
+def _required(n: Column, m: Column) -> Column:
+    return F.ceil((n + m) * 3 / 7)
+
+
+def whole_lists(spark: SparkSession, reps: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(token, node, n) of all lists of the wanted nodes that hold two of them or more."""
+    ids = wanted.join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
+    rows = reps.join(io.limited(io.staged(ids, "open_ids")), "doc_id")
+    return shared_lists(short_lists(spark, rows, np.zeros(0, np.uint64), whole=True)).select("token", "node", "n")
 
 
 def _close(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 4) >= (F.greatest(n, m) * 3)
 
 
+#: Which of two joins forms a pair: that of short lists with themselves if neither side
+#: covers it, else that of a covering side's rest with all lists.
+_WAY = {
+    True: lambda t: (F.col("a") < F.col("b")) & (F.col("ca") >= t) & (F.col("cb") >= t),
+    False: lambda t: F.col("ca") < t,
+}
+
+
 def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -240,7 +270,7 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     reps = known.join(io.limited(copies), "doc_id", "left_anti")
 
-    counts = short_lists(spark, reps, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") >= FREQUENT_LEAST)
+    counts = short_lists(spark, reps, np.zeros(0, np.uint64)).select("token").groupBy("token").count().filter(F.col("count") >= FREQUENT_LEAST)
     counts = io.staged(counts, "frequent")
     most = FREQUENT_LEAST
     while counts.filter(F.col("count") >= most).count() > FREQUENT_MOST:
@@ -255,21 +285,46 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = lists.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("16 * c >= n")
     best = stars.groupBy("node").agg(F.max(F.struct("c", "center")).alias("one"), F.max_by("center", F.struct(F.col("c"), -F.col("center"))).alias("two"))
     tries = best.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("one.center", "two"))).alias("b"))
-    first = io.staged(verified(spark, docs, nodes, tries.distinct()), "links")
+    tested = io.staged(verified(spark, docs, nodes, tries.distinct(), with_rest=True), "tested")
+    first = tested.filter("linked").select("a", "b")
     roots = components(spark, first)
 
     # merges between different components
-    placed = lists.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = io.staged(placed, "placed")
+    placed = io.staged(lists.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     open_ = io.staged(placed.join(mixed, "token"), "open_lists")
     io.drop(placed)
-    x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb")))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = io.staged(counted.filter(_reach(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b"), "candidates")
-    second = verified(spark, docs, nodes, pairs)
+    whole = io.staged(whole_lists(spark, reps, nodes, open_.select("node").distinct()), "whole_lists")
+    shared = whole.groupBy("node").agg(F.count("*").alias("shared"))
+    # A node with a tested center C: of what it shares with any partner, at most
+    # |A & C| lies in C and at most ``late`` is frequent; where T is more than their sum
+    # (``covered``), the rest of A outside C must be met, and its lists are short.
+    center = tested.filter("not linked").groupBy(F.col("a").alias("node")).agg(F.max_by(F.struct("overlap", "rest"), F.struct("overlap", "b")).alias("t"))
+    tokens = center.select("node", "t.overlap", F.explode("t.rest").alias("token"))
+    common = F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(frequent.view(np.int64)), "late": pa.array(np.ones(len(frequent), np.int64))})))
+    marked = io.staged(tokens.join(common, "token", "left"), "rests")
+    covered = marked.groupBy("node").agg((F.max("overlap") + F.count("late")).alias("covered"))
+    state = io.staged(
+        shared.join(open_.select("node", "root").distinct(), "node").join(covered, "node", "left").withColumn("covered", F.coalesce("covered", F.lit(1 << 40))), "open_nodes"
+    )
+
+    def meeting(mine: DataFrame, other: DataFrame) -> DataFrame:
+        x = mine.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("shared").alias("sa"), F.col("covered").alias("ca"))
+        y = other.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("shared").alias("sb"), F.col("covered").alias("cb"))
+        t = _required(F.col("na"), F.col("nb"))
+        return x.join(y, (x["token"] == y["token"]) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= t) & _WAY[mine is other](t))
+
+    able = F.col("shared") * 4 >= F.col("n") * 3  # or T is out of reach for any partner
+    short = io.staged(open_.drop("root").join(state, "node").filter(able), "able_lists")
+    met = meeting(short, short).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    general = met.filter(_reach(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
+    every = io.staged(whole.join(state, "node").filter(able), "able_whole")
+    io.drop(whole)
+    own = marked.filter("late is null").select("token", "node").join(every, ["token", "node"])
+    rest = meeting(own, every).groupBy("a", "b").agg(F.count("*").alias("r"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("ca").alias("ca"))
+    special = rest.filter(F.col("r") + F.col("ca") >= _required(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = io.staged(general.union(special).distinct(), "candidates")
+    second = verified(spark, docs, nodes, pairs).filter("linked").select("a", "b")
     links = io.staged(first.union(second), "links")
     roots = components(spark, links)
 
