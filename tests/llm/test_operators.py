@@ -273,6 +273,37 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup(spark, none).count() == 0
 
 
+def test_line_dedup_finds_every_planted_passage(spark):
+    """Passages of about 50 words in 2 to 8 lines, between lines of their own."""
+    r = random.Random(11)
+    line = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    texts_ = []
+    for k in range(60):
+        n = 2 + k % 7
+        planted = [line(50 // n + 1) for _ in range(n)]
+        for _ in range(2):
+            texts_.append("\n".join([line(9) for _ in range(k % 4)] + planted + [line(9) for _ in range(k % 3)]))
+    texts_ += ["same\nsame\nsame", "a\nb", "x\na\nb\nc", "a\nb\nc\n", "same"]
+    order = list(range(len(texts_)))
+    r.shuffle(order)
+    rows = [(i, texts_[k]) for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.text, x.n_removed, x.removed_bytes) for x in line_dedup.dedup(spark, df).collect()}
+    seen, cut = set(), 0
+    for i, t in rows:
+        parts = t.splitlines(keepends=True)
+        bare = [p.rstrip("\n") for p in parts]
+        drop = set()
+        for k in range(len(bare) - 1):
+            if (bare[k], bare[k + 1]) in seen:
+                drop |= {k, k + 1}
+            seen.add((bare[k], bare[k + 1]))
+        want = "".join(p for k, p in enumerate(parts) if k not in drop)
+        assert got[i] == (want, sum(k - 1 not in drop for k in drop), len(t) - len(want))
+        cut += len(drop)
+    assert cut >= 60 * 5
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line number {i} of the text".encode() for i in range(60)]
     whole = b"\n".join(lines)
