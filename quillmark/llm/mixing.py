@@ -1,31 +1,37 @@
 """Soft-membership mixing to target weights, in DataFrame functions only.
 
 A naive Bayes classifier fitted on the labelled table gives every document a posterior
-over domains. Document rates r >= 0 then minimise the squared gaps between the expected
-domain token totals sum_d r_d tokens_d p_dk and their targets, each gap relative to the
-domain's size, by projected gradient: r_d <- max(0, r_d - p_d . gap). In that metric the
-largest curvature is 1, so the step length is 1. A pass gathers one number per domain;
-a document's rate is a fold of the passes' gap vectors over its own posterior.
+over domains. Document rates r >= 0 then bring the expected domain token totals
+sum_d r_d tokens_d p_dk to their targets, by projected gradient least squares:
+r_d <- max(0, r_d - p_d . M gap). M is the inverse of the domains' Gram matrix
+sum_d tokens_d p_dk p_dl over the documents with a positive rate, which makes the problem
+well-conditioned (a Newton step while the same rates are zero); where such a step takes the
+gaps further off, that of the Gram matrix of all documents is taken instead, whose largest
+curvature is 1. A pass gathers one row of gaps and Gram matrix; a document's rate is a
+fold of the passes' step vectors over its own posterior.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import io
 
-#: Hash classes of words, labelled rows to fit on (expected number), passes at most.
+#: Hash classes of words, labelled rows to fit on (expected number), passes at most; a
+#: domain's largest gap, relative to its target (to its size where the target is 0).
 BUCKETS = 4096
 MAX_LABELLED = 20_000
 PASSES = 40
 TOLERANCE = 1e-3
 _WORDS = "[\\x09-\\x0D ]+"
-TOKENS, POST = "__mix_tokens", "__mix_posterior"
+TOKENS, POST, RESIDUAL = "__mix_tokens", "__mix_posterior", "__mix_residual"
 
 #: Target shares of tokens for the domains that the labels table spans.
 TARGETS = {"q1t0": 0.86, "q0t0": 0.08, "q1t1": 0.055, "q0t1": 0.005}
@@ -129,30 +135,61 @@ def rate_of(steps: list[list[float]], n_domains: int) -> Column:
     return F.aggregate(constant, F.lit(1.0), step)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
-    """The steps of projected gradient least squares; each pass gathers one row."""
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[list[float]], float]:
+    """The steps of projected gradient least squares and the largest relative gap that
+    they leave; each pass gathers one row. Warns where that is TOLERANCE or more."""
     k = len(domains)
-    first = rows.agg(F.sum(TOKENS).alias("n"), *[F.sum(F.col(TOKENS) * F.col(POST)[i]).alias(f"m{i}") for i in range(k)]).first()
-    if not first["n"]:
-        return []
-    total = float(first["n"])
-    share = [max(float(first[f"m{i}"]) / total, 1e-9) for i in range(k)]
-    asked = sum(targets.get(d, 0.0) for d in domains)
-    want = [targets.get(d, 0.0) / asked for d in domains] if asked > 0 else share
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals by domain, Gram matrix of the documents with a positive rate, all tokens."""
+        post = [F.col(POST)[i] for i in range(k)]
+        active = F.when(F.col("r") > 0, F.col(TOKENS)).otherwise(F.lit(0))
+        sums = [F.sum(F.col("r") * F.col(TOKENS) * x) for x in post] + [F.sum(active * post[i] * post[j]) for i, j in pairs]
+        got = rows.select(TOKENS, POST, rate_of(steps, k).alias("r")).agg(F.sum(TOKENS), *sums).first()
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = x or 0.0
+        return np.array([x or 0.0 for x in got[1 : k + 1]]), gram, float(got[0] or 0)
+
+    def inverse(gram: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+
     steps: list[list[float]] = []
+    totals, gram, n = measured(steps)
+    if not n:
+        return [], 0.0
+    share = np.maximum(totals / n, 1e-9)
+    asked = sum(targets.get(d, 0.0) for d in domains)
+    want = np.array([targets.get(d, 0.0) / asked for d in domains]) if asked > 0 else share
+    size = np.where(want > 0, want, share)
+    plain = inverse(gram / n)
+    gap = totals / n - want
+    best = steps, gap, gap @ plain @ gap
+    newton = True
     for _ in range(PASSES):
-        rate = rate_of(steps, k)
-        got = rows.select(TOKENS, POST, rate.alias("r")).agg(*[F.sum(F.col("r") * F.col(TOKENS) * F.col(POST)[i]).alias(f"g{i}") for i in range(k)]).first()
-        gap = [float(got[f"g{i}"]) / total - want[i] for i in range(k)]
-        if max(abs(g) / max(w, s) for g, w, s in zip(gap, want, share, strict=True)) < TOLERANCE:
+        if np.max(np.abs(best[1]) / size) < TOLERANCE:
+            break
+        steps = [*best[0], ((inverse(gram / n) if newton else plain) @ best[1]).tolist()]
+        totals, found, _n = measured(steps)
+        gap = totals / n - want
+        if gap @ plain @ gap < best[2]:
+            best, gram, newton = (steps, gap, gap @ plain @ gap), found, True
+        elif newton:
+            newton = False
+        else:  # not even the safe step comes nearer: the targets are out of reach
             break
-        steps.append([g / s for g, s in zip(gap, share, strict=True)])
-    return steps
+    residual = float(np.max(np.abs(best[1]) / size))
+    if residual >= TOLERANCE:
+        warnings.warn(f"mixing: the targets are missed by up to {residual:.2%} of a domain's target", stacklevel=2)
+    return best[0], residual
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
-    """(``docs`` with token count, posterior array and ``rate``, domain names).
+    """(``docs`` with token count, posterior array, ``rate`` and residual, domain names).
 
+    The residual, the same in every row, is the largest relative gap to a target; it is
+    TOLERANCE or more where no rates meet the targets.
     Every row gets a rate, rows that repeat the same one. A null or empty text has no
     tokens, the prior as its posterior and no say in the fit. Without labelled rows
     there are no domains and every rate is 1. Targets are shares of all tokens for
@@ -161,10 +198,10 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     domains = labelled_domains(labels)
     model = fit_classifier(docs, domains)
     if not model.domains:
-        return docs.withColumn(TOKENS, F.size(words_of("text")).cast("long")).withColumn(POST, F.array().cast("array<double>")).withColumn("rate", F.lit(1.0)), []
+        return docs.withColumn(TOKENS, F.size(words_of("text")).cast("long")).withColumn(POST, F.array().cast("array<double>")).withColumn("rate", F.lit(1.0)).withColumn(RESIDUAL, F.lit(0.0)), []
     rows = io.staged(with_posteriors(docs, model), "mix_posteriors")
-    steps = fit_rates(rows, model.domains, targets or TARGETS)
-    return rows.withColumn("rate", rate_of(steps, len(model.domains))), model.domains
+    steps, residual = fit_rates(rows, model.domains, targets or TARGETS)
+    return rows.withColumn("rate", rate_of(steps, len(model.domains))).withColumn(RESIDUAL, F.lit(residual)), model.domains
 
 
 def realised(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -173,4 +210,4 @@ def realised(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(F.col("rate") + draw).cast("int")
     kept = rows.withColumn("__mix_copies", copies).filter(F.col("__mix_copies") > 0)
-    return kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_copies", "__mix_copy", "rate", TOKENS, POST)
+    return kept.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).drop("__mix_copies", "__mix_copy", "rate", TOKENS, POST, RESIDUAL)

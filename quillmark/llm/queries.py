@@ -60,7 +60,7 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, _ = mixing.mix(spark, docs, table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", F.col(mixing.TOKENS).alias("n_tokens"), F.col(mixing.POST).alias("posterior"), "rate")
+    return rows.select("doc_id", F.col(mixing.TOKENS).alias("n_tokens"), F.col(mixing.POST).alias("posterior"), "rate", F.col(mixing.RESIDUAL).alias("residual"))
 
 
 QUERIES = {

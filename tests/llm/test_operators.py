@@ -373,6 +373,28 @@ def test_mixing_meets_targets(spark, none):
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
 
 
+def test_mixing_converges_on_overlapping_posteriors(spark):
+    """Four domains whose posteriors hardly differ; targets out of reach are reported."""
+    r = np.random.default_rng(12)
+    names = ["q0t0", "q0t1", "q1t0", "q1t1"]
+    post = r.dirichlet([4.6, 0.3, 40.0, 4.5], 2000)
+    post[:, :2] = 0.9 * post[:, :2] + 0.1 * post[:, 2:]
+    post /= post.sum(axis=1, keepdims=True)
+    n = r.integers(5, 400, 2000)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, post, strict=True)], f"{mixing.TOKENS} long, {mixing.POST} array<double>").cache()
+    for shift in (0.6, 1.3):
+        share = n @ post / n.sum()
+        want = share * [1.0, 1.0, 1.0, shift]
+        want /= want.sum()
+        steps, residual = mixing.fit_rates(df, names, dict(zip(names, want.tolist(), strict=True)))
+        rate = np.array([x[0] for x in df.select(mixing.rate_of(steps, 4)).collect()])
+        got = (rate * n) @ post / n.sum()
+        assert (rate >= 0).all() and np.abs(got / want - 1).max() < 2e-3 and residual < mixing.TOLERANCE
+    with pytest.warns(UserWarning, match="missed"):
+        _, residual = mixing.fit_rates(df, names, {"q0t1": 1.0})
+    assert residual >= mixing.TOLERANCE
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline as c
 
