@@ -4,7 +4,8 @@ Base counts per text, and a modified Kneser-Ney model of character classes for e
 language. The n-grams of all texts are counted by Spark; a language's model is a sorted
 array of gram hashes with a log-probability each, of at most 32**ORDER entries because
 texts are read as 32 character classes. A text is rejected when its perplexity leaves
-the band of its language, which comes from the quartiles of all its texts.
+the band of its language, which comes from the quartiles of its texts that pass the base
+rules, exact copies counted once.
 """
 
 from __future__ import annotations
@@ -23,9 +24,7 @@ from quillmark.llm.textkit import IS_SEP, segment_hash, slices, string_buffers,
 ORDER = 4
 _BITS = 5
 #: Width of the band in interquartile ranges of log2 perplexity, above and below.
-UPPER_IQR, LOWER_IQR = 8.0, 8.0
-#: The band is never narrower than this many bits to either side of the median.
-LEAST_BITS = 0.6
+UPPER_IQR, LOWER_IQR = 3.0, 3.0
 WINDOW = 8
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -228,19 +227,21 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Base rules and the perplexity band of every document (one row per row).
 
     A null language counts as ``und``. A null text has no words and fails the base
-    rules. Bands use the quartiles of the documents that pass the base rules; a text
+    rules. Bands use the quartiles of the documents that pass the base rules, copies (of
+    equal counts and perplexity) counted once so that they can't close the band; a text
     without characters has no perplexity (null) and isn't judged by it.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
     measured = io.staged(measure(spark, docs, fit(spark, docs)), "kn_measured")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = measured.withColumn("base_failed", failed)
-    quart = rows.filter("not base_failed and log2_ppl is not null").groupBy("lang").agg(F.percentile_approx("log2_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    passed = rows.filter("not base_failed and log2_ppl is not null").dropDuplicates(["lang", "n_words", "word_chars", "log2_ppl"])
+    quart = passed.groupBy("lang").agg(F.percentile_approx("log2_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"))
     spread = F.col("q")[2] - F.col("q")[0]
     bands = quart.select(
         F.col("lang"),
-        (F.col("q")[1] - F.greatest(F.lit(LEAST_BITS), LOWER_IQR * spread)).alias("low"),
-        (F.col("q")[1] + F.greatest(F.lit(LEAST_BITS), UPPER_IQR * spread)).alias("high"),
+        (F.col("q")[1] - LOWER_IQR * spread).alias("low"),
+        (F.col("q")[1] + UPPER_IQR * spread).alias("high"),
     )
     inside = F.coalesce(F.col("log2_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.join(F.broadcast(bands), "lang", "left").select(

@@ -186,6 +186,24 @@ def test_quality_base_counts(spark, docs, none):
     assert kn_quality.judge(spark, none).count() == 0
 
 
+def test_quality_band_rejects_planted_junk(spark):
+    """Text in another language and upper-case cries, all past the base rules."""
+    r = random.Random(21)
+    own = ["".join(r.choice(["ba", "ne", "ti", "lo", "mur", "sen", "ka"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    other = ["".join(r.choice(["ab", "en", "it", "ol", "rum", "nes", "ak"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    text = lambda vocab, n: " ".join(r.choice(vocab) for _ in range(n))
+    rows = [(i, text(own, r.randint(60, 300)), "xx") for i in range(600)]
+    mixed = lambda: " ".join(r.choice(other if k % 3 else own) for k in range(120))
+    junk = [mixed() for _ in range(8)] + ["!! ".join(text(own, 120).upper().split(" ")) for _ in range(4)]
+    rows += [(1000 + i, t, "xx") for i, t in enumerate(junk)]
+    rows += [(2000 + i, rows[0][1], "xx") for i in range(40)]  # copies don't close the band
+    out = kn_quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not any(x.base_failed for x in out)
+    assert sum(x.kept for x in out if x.doc_id < 1000) >= 590
+    assert not any(x.kept for x in out if 1000 <= x.doc_id < 2000)
+    assert all(x.kept for x in out if x.doc_id >= 2000)
+
+
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(1)
     keys, counts = np.unique(r.zipf(1.5, 5000) % (1 << 20), return_counts=True)
