@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -19,11 +23,13 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in local tests, a folder of our own is used.
+    Only a local session may do without it, as in tests; it gets a folder of our own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="quillmark-"))
         atexit.register(_drop_own)
@@ -67,18 +73,52 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Rows of ids up to which a list is broadcast; longer ones are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Bits of a membership filter (a power of two) and probes for each id. The filter has
+#: this size for any number of ids; one that is full lets every row pass.
+FILTER_BITS, _PROBES = 1 << 26, 2
+_WORD = 64
 
 
-def few(ids: DataFrame) -> bool:
-    """Whether a list of ids is short enough to be broadcast."""
-    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def _places(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key.cast("long"), F.lit(f"probe {k}")), F.lit(FILTER_BITS)) for k in range(_PROBES)]
 
 
-def limited(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint if they are few enough, as they are otherwise."""
-    return F.broadcast(ids) if few(ids) else ids
+def id_filter(ids: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of the ids as 64-bit words: FILTER_BITS / 8 bytes, whatever their
+    number; the driver gathers one row for each of its words at most."""
+    place = ids.select(F.explode(F.array(*_places(F.col(key)))).alias("p"))
+    word = (F.col("p") / _WORD).cast("long")
+    got = place.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(p, {_WORD}) as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // _WORD, np.uint64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def parted(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose key may be among ``ids``, rows whose key isn't).
+
+    The first holds all rows with such a key and, by chance, a few others: an exact join
+    follows, and only these rows are shuffled for it. One plan serves any number of ids.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(id_filter(ids, key))
+    names, n_probes = docs.columns, _PROBES
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], *[p.alias(f"__probe{k}") for k, p in enumerate(_places(F.col(key)))])
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = shared.value
+            for batch in batches:
+                hit = np.ones(batch.num_rows, dtype=bool)
+                for k in range(n_probes):
+                    p = batch.column(len(names) + k).to_numpy(zero_copy_only=False)
+                    hit &= (words[p // _WORD] >> (p % _WORD).astype(np.uint64)) & np.uint64(1) == 1
+                keep = pa.array(hit if wanted else ~hit)
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(len(names))], names=names)
+
+        return marked.mapInArrow(run, docs.schema)
+
+    return part(True), part(False)
 
 
 def ship(spark: SparkSession) -> None:

@@ -6,12 +6,18 @@ shingles have the short lists, which are merged in sorted order while occurrence
 counted (the merge is a sort-merge over the cluster), and only documents found often
 enough for T to be in reach are probed in the long lists of the other shingles, by
 binary search. "Rarest" is one global order: shingles known as frequent come last,
-the others by hash, so that all common shingles below the earlier end of two short
-parts are counted, and  count + (n - p)  bounds the overlap.
-
-Only what decides components is searched: equal sets form one class; star-shaped
-candidates link most near copies first; the merge then counts pairs of documents
-between different components only, so a large group of near copies isn't squared.
+the others by hash, so that of two short parts that which ends earlier holds all common
+shingles up to its end, and the count plus its long lists bounds the overlap.
+
+Only what decides components is searched. Equal sets form one class. Each class that
+shares short lists is tested against one center, the document it meets most often, and
+becomes a member of the center's family if they are alike. Members of one family are
+compared by their differences D from the center C only:
+|A & B| = |A & C| + |B & C| - |C| + |D_A & D_B|, so a pair links if its differences share
+T + |C| - |A & C| - |B & C| entries or more. That is positive unless both link with C and
+are in one component already, so a prefix of the rarest differences finds every pair, and
+a large group of near copies isn't squared. All other pairs between components meet in
+the short lists.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.llm import io
@@ -28,8 +35,15 @@ from quillmark.llm.textkit import ASCII_LOWER, mix64, segment_hash, shingles, sl
 
 SHINGLE = 5
 #: A shingle is frequent from so many short lists on; at most FREQUENT_MOST of them are
-#: kept apart (the bound rises with the table), which limits the broadcast to 8 MB.
-FREQUENT_LEAST, FREQUENT_MOST = 32, 1_000_000
+#: kept apart (the bound rises with the table), which limits the broadcast to 8 MB. They
+#: are looked for this many times, since setting some apart makes room for others.
+FREQUENT_LEAST, FREQUENT_MOST, FREQUENT_PASSES = 32, 1_000_000, 2
+#: Parts of a frequent shingle's list; members of one family in a list from which on they
+#: are kept apart from the rest of the list.
+SALTS, GROUP = 64, 64
+#: A class is tested against a center if a TEST-th of its shingles is in shared short
+#: lists, and joins its family if they share a FAMILY-th of the sum of both sizes.
+TEST, FAMILY = 10, 5
 U64 = np.uint64
 
 
@@ -52,10 +66,11 @@ def _each_set(column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield a, b, sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def node_of(s: np.ndarray) -> int:
-    """Digest of a set, alike for equal sets only."""
-    total = int(np.add.reduce(mix64(s))) + len(s) * 0x9E3779B97F4A7C15
-    other = int(np.add.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))))
+def node_of(s: np.ndarray, seed: int = 0) -> int:
+    """Digest of a set under a seed; two seeds give independent digests."""
+    turn = U64((0x5851F42D4C957F2D * (2 * seed + 1)) & (2**64 - 1))
+    total = int(np.add.reduce(mix64(s ^ turn))) + len(s) * 0x9E3779B97F4A7C15
+    other = int(np.add.reduce(mix64(mix64(s) + turn)))
     mixed = mix64(np.array([(total ^ (other << 1)) & (2**64 - 1)], dtype=U64))
     return int(mixed.view(np.int64)[0])
 
@@ -70,96 +85,115 @@ def needed(n: int, m: int) -> int:
     return (3 * (n + m) + 6) // 7
 
 
-def set_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node) of every row; node is null for empty sets."""
+def set_rows(spark: SparkSession, docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, n, node, check) of every row; node and check, two digests, are null for
+    empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _each_set(batch.column(1)):
-                nodes = [node_of(s) if len(s) else None for s in sets]
+                digests = [[node_of(s, k) if len(s) else None for s in sets] for k in (seed, seed + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"]
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in digests)],
+                    names=["doc_id", "n", "node", "check"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, check long")
+
+
+ENTRY = "token long, salt int, doc_id long, node long, n int, end long"
 
 
-def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray, whole: bool = False) -> DataFrame:
-    """(token, doc_id, node, n): the short-list entries of every document of ``reps``,
-    or those of all its lists if ``whole``."""
+def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
+    """The short-list entries of every document of ``reps`` (columns ENTRY).
+
+    ``end`` is the place of the last of them in the global order; ``salt`` deals the list
+    of a frequent shingle to SALTS parts and is -1 for any other.
+    """
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
 
         def often(x: np.ndarray) -> np.ndarray:
+            if not len(common):
+                return np.zeros(len(x), dtype=bool)
             return common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, sets in _each_set(batch.column(1)):
                 full = [k for k, s in enumerate(sets) if len(s)]
+                if not full:
+                    continue
                 docs_, sets = ids[a:b][full], [sets[k] for k in full]
-                parts = sets if whole else [s[: short_size(len(s))] for s in sets]
-                if len(common) and parts:
+                parts = [s[: short_size(len(s))] for s in sets]
+                if len(common):
                     hit = often(np.concatenate(parts))
                     ends = np.cumsum([len(p) for p in parts])
                     for k in np.flatnonzero(np.add.reduceat(hit, ends - [len(p) for p in parts])):
                         late = often(sets[k])
                         parts[k] = np.concatenate([sets[k][~late], sets[k][late]])[: len(parts[k])]
-                sizes = [len(p) for p in parts]
-                tokens = np.concatenate(parts) if parts else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(tokens.view(np.int64)),
-                        pa.array(np.repeat(docs_, sizes)),
-                        pa.array(np.repeat(np.array([node_of(s) for s in sets], np.int64), sizes)),
-                        pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)),
-                    ],
-                    names=["token", "doc_id", "node", "n"],
-                )
+                sizes = np.array([len(p) for p in parts])
+                tokens = np.concatenate(parts)
+                late = often(tokens)
+                nodes = np.array([node_of(s, seed) for s in sets], np.int64)
+                last = np.cumsum(sizes) - 1
+                end = ((tokens[last] >> U64(2)) | (late[last].astype(U64) << U64(62))).view(np.int64)
+                salt = np.where(late, np.repeat(nodes % SALTS, sizes), -1).astype(np.int32)
+                columns = [tokens.view(np.int64), salt, *(np.repeat(x, sizes) for x in (docs_, nodes, np.array([len(s) for s in sets], np.int32), end))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "salt", "doc_id", "node", "n", "end"])
 
-    return reps.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, node long, n int")
+    return reps.select("doc_id", "text").mapInArrow(run, ENTRY)
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """Entries of lists with two or more of them, and each list's first node.
+    """Entries of lists with two or more of them, and each list's center: its first node
+    (the smallest doc_id: what others were copied from tends to be older).
 
-    Rows come sorted by (token, doc_id, node); single entries are dropped as they stream
-    by. First comes the smallest doc_id: what others were copied from tends to be older.
+    Rows come sorted by (token, salt, doc_id, node); single entries are dropped as they
+    stream by. The parts of a frequent list keep all entries; their center, found by a
+    partial aggregation, is joined on, at most FREQUENT_MOST of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row so far
-        first: tuple = (None, None)  # token and first node of the run it is in
+        held: list | None = None  # the last row so far
+        first: tuple = (0, 0)  # document and node that begin the run it is in
         before = None  # the token before it
 
-        def emit(token, node, n, following):
+        def emit(cols, following):
             nonlocal first, before
+            token, salt, doc, node = cols[:4]
             start = np.empty(len(token), dtype=bool)
             start[0] = before is None or token[0] != before
             start[1:] = token[1:] != token[:-1]
             where = np.maximum.accumulate(np.where(start, np.arange(len(token)), -1))
-            center = np.where(where >= 0, node[np.maximum(where, 0)], first[1] if first[1] is not None else 0)
+            center = [np.where(where >= 0, x[np.maximum(where, 0)], y) for x, y in zip((doc, node), first, strict=True)]
             nxt = np.append(token[1:], following if following is not None else token[-1])
             alone = start & ((nxt != token) if following is not None else np.append(nxt[:-1] != token[:-1], True))
-            first, before = (int(token[-1]), int(center[-1])), int(token[-1])
-            keep = ~alone
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, center)], names=["token", "node", "n", "center"])
+            first, before = (int(center[0][-1]), int(center[1][-1])), int(token[-1])
+            keep = ~alone | (salt >= 0)
+            arrays = [pa.array(cols[k][keep]) for k in (0, 2, 3, 4, 5)] + [pa.array(x[keep], mask=salt[keep] >= 0) for x in center]
+            return pa.RecordBatch.from_arrays(arrays, names=["token", "doc_id", "node", "n", "end", "center_doc", "center"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             if held is not None:
-                token, node, n = np.append(held[0], token), np.append(held[1], node), np.append(held[2], n)
-            held = (token[-1:], node[-1:], n[-1:])
-            if len(token) > 1:
-                yield emit(token[:-1], node[:-1], n[:-1], token[-1])
+                cols = [np.append(x, y) for x, y in zip(held, cols, strict=True)]
+            held = [x[-1:] for x in cols]
+            if len(cols[0]) > 1:
+                yield emit([x[:-1] for x in cols], cols[0][-1])
         if held is not None:
-            yield emit(*held, None)
+            yield emit(held, None)
 
-    return rows.repartition("token").sortWithinPartitions("token", "doc_id", "node").mapInArrow(run, "token long, node long, n int, center long")
+    sorted_ = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id", "node")
+    lists = io.staged(sorted_.mapInArrow(run, "token long, doc_id long, node long, n int, end long, center_doc long, center long"), "short_lists")
+    firsts = lists.filter("center is null").groupBy("token").agg(F.min(F.struct("doc_id", "node")).alias("f"))
+    return lists.join(F.broadcast(firsts), "token", "left").select(
+        "token", "node", "n", "end", F.coalesce("center_doc", "f.doc_id").alias("center_doc"), F.coalesce("center", "f.node").alias("center")
+    )
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -185,18 +219,19 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-VERIFIED = "a long, b long, linked boolean, overlap long, rest array<long>"
+VERIFIED = "a long, b long, linked boolean, overlap long, na long, nb long, delta array<long>"
 
 
-def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, with_rest: bool = False) -> DataFrame:
-    """(a, b, linked, overlap, rest) of each of ``pairs`` (a, b).
+def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, with_delta: bool = False) -> DataFrame:
+    """Sizes and overlap of each of ``pairs`` (a, b), and whether it links.
 
-    The shingles of a are probed in b's sorted array by binary search; ``rest`` holds
-    those that b lacks, for pairs that don't link, if ``with_rest``.
+    The shingles of a are probed in b's sorted array by binary search. ``delta`` holds the
+    shingles that only one of them has, for pairs of one family, if ``with_delta``.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = io.staged(ids.join(nodes, "node").select("node", "rep"), "pair_nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(io.limited(named), "rep").select("node", "text")
+    named = io.staged(ids.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), "pair_nodes")
+    maybe, _ = io.parted(reps.select("doc_id", "text"), named)
+    texts = maybe.join(named, "doc_id").select("node", "text")
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,50 +243,149 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
                 out = []
                 for k, (x, y) in enumerate(zip(left_sets, right_sets, strict=True)):
                     # rows of other texts under the same doc_id aren't meant
-                    if not len(x) or not len(y) or node_of(x) != a[k] or node_of(y) != b[k]:
+                    if not len(x) or not len(y) or node_of(x, seed) != a[k] or node_of(y, seed) != b[k]:
                         continue
                     hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                    i = int(hit.sum())
-                    linked = i >= needed(len(x), len(y))
-                    out.append((int(a[k]), int(b[k]), linked, i, x[~hit].view(np.int64) if with_rest and not linked else None))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "overlap", "rest"])
+                    i, n, m = int(hit.sum()), len(x), len(y)
+                    delta = None
+                    if with_delta and FAMILY * i >= n + m:
+                        delta = np.concatenate([x[~hit], np.setdiff1d(y, x[hit], assume_unique=True)]).view(np.int64)
+                    out.append((int(a[k]), int(b[k]), i >= needed(n, m), i, n, m, delta))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "overlap", "na", "nb", "delta"]
+                )
 
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(run, VERIFIED)
 
 
-def _reach(c: Column, n: Column, m: Column) -> Column:
-    """Whether a pair counted c times in short lists can reach T."""
+def _required(n: Column, m: Column) -> Column:
+    return F.ceil((n + m) * 3 / 7)
 
-    def rest(x: Column) -> Column:
-        return F.ceil(x * 3 / 4) - 1
 
-    return c + F.greatest(rest(n), rest(m)) >= _required(n, m)
+def _close(n: Column, m: Column) -> Column:
+    return (F.least(n, m) * 4) >= (F.greatest(n, m) * 3)
 
 
-def _required(n: Column, m: Column) -> Column:
-    return F.ceil((n + m) * 3 / 7)
+def _least_count() -> Column:
+    """Common entries that the short lists of a linked pair hold at least: T less the long
+    lists of that side whose short part ends earlier."""
 
+    def rest(x: Column) -> Column:
+        return F.ceil(x * 3 / 4) - 1
 
-def whole_lists(spark: SparkSession, reps: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(token, node, n) of all lists of the wanted nodes that hold two of them or more."""
-    ids = wanted.join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
-    rows = reps.join(io.limited(io.staged(ids, "open_ids")), "doc_id")
-    return shared_lists(short_lists(spark, rows, np.zeros(0, np.uint64), whole=True)).select("token", "node", "n")
+    x, y = rest(F.col("na")), rest(F.col("nb"))
+    beyond = F.when(F.col("ea") < F.col("eb"), x).when(F.col("ea") > F.col("eb"), y).otherwise(F.greatest(x, y))
+    return _required(F.col("na"), F.col("nb")) - beyond
 
 
-def _close(n: Column, m: Column) -> Column:
-    return (F.least(n, m) * 4) >= (F.greatest(n, m) * 3)
+def family_pairs(tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of members of one family, in different components, whose differences from
+    the center may share enough.
+
+    Differences are ordered from the rarest of the family on; with ``need`` shared ones
+    the first of them is among the d - need + 1 first of either side.
+    """
+    member = tested.filter("delta is not null").select(
+        F.col("a").alias("node"), F.col("b").alias("family"), F.col("na").alias("n"), F.col("nb").alias("c"), F.col("overlap").alias("o"), "linked", "delta"
+    )
+    placed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = io.staged(placed, "family_members")
+    open_ = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("family")
+    # what any partner needs at least, a linked member one that isn't linked and the other way round
+    threshold = _required(F.col("n"), F.col("c"))
+    n, c, o = F.col("n"), F.col("c"), F.col("o")
+    need = F.when(F.col("linked"), F.floor((3 * n + 4 * c) / 7) - o).otherwise(threshold - o)
+    rows = placed.join(open_, "family").select("family", "node", "n", "c", "o", "root", F.greatest(need, F.lit(1)).alias("need"), F.size("delta").alias("d"), F.explode("delta").alias("token"))
+    rows = io.staged(rows, "family_lists")
+    often = rows.groupBy("family", "token").agg(F.count("*").alias("times"))
+    place = W.partitionBy("node").orderBy("times", "token")
+    ranked = rows.join(often, ["family", "token"]).withColumn("at", F.row_number().over(place))
+    ranked = io.staged(ranked.filter((F.col("times") > 1) & (F.col("at") <= F.col("d") - F.col("need") + 1)), "family_prefixes")
+    x, y = (
+        ranked.select("family", "token", "c", *[F.col(k).alias(f"{k}{side}") for k in ("node", "n", "o", "root", "d", "at")]) for side in "ab"
+    )
+    shared = _required(F.col("na"), F.col("nb")) + x["c"] - F.col("oa") - F.col("ob")
+    met = x.join(
+        y.drop("c"),
+        (x["family"] == y["family"]) & (x["token"] == y["token"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb"))
+        & _close(F.col("na"), F.col("nb")) & (F.col("ata") <= F.col("da") - shared + 1) & (F.col("atb") <= F.col("db") - shared + 1),
+    )
+    return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
 
+def other_pairs(lists: DataFrame, tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of different components and families that meet often enough in short lists.
 
-#: Which of two joins forms a pair: that of short lists with themselves if neither side
-#: covers it, else that of a covering side's rest with all lists.
-_WAY = {
-    True: lambda t: (F.col("a") < F.col("b")) & (F.col("ca") >= t) & (F.col("cb") >= t),
-    False: lambda t: F.col("ca") < t,
-}
+    Where GROUP or more entries of a list are of one family, they meet the others of the
+    list by that family's name and are never set against each other.
+    """
+    family = tested.filter("delta is not null").select(F.col("a").alias("node"), F.col("b").alias("family"))
+    placed = lists.select("token", "node", "n", "end").join(roots, "node", "left").join(family, "node", "left")
+    placed = io.staged(placed.select("token", "node", "n", "end", F.coalesce("root", "node").alias("root"), F.coalesce("family", "node").alias("family")), "placed")
+    mixed = placed.groupBy("token").agg(*[f(c).alias(f"{c}{f.__name__}") for c in ("root", "family") for f in (F.min, F.max)])
+    mixed = mixed.filter("rootmin <> rootmax and familymin <> familymax").select("token")
+    open_ = io.staged(placed.join(mixed, "token"), "open_lists")
+    io.drop(placed)
+    times = open_.groupBy("node").agg(F.count("*").alias("s"))
+    crowds = open_.groupBy("token", "family").agg(F.count("*").alias("k")).filter(F.col("k") >= GROUP).select("token", "family", F.lit(True).alias("crowd"))
+    crowds = io.staged(crowds, "crowds")
+    every = io.staged(open_.join(times, "node").join(crowds, ["token", "family"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))), "open_entries")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        short = {"node": "", "n": "n", "end": "e", "root": "r", "s": "s", "family": "f", "crowd": "w"}
+        return rows.select("token", *[F.col(k).alias(f"{v}{name}") for k, v in short.items()])
+
+    def fits() -> Column:
+        apart = (F.col("ra") != F.col("rb")) & (F.col("fa") != F.col("fb")) & (F.col("fa") != F.col("b")) & (F.col("fb") != F.col("a"))
+        return apart & _close(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= _least_count())
+
+    single = every.filter("not crowd")
+    x, y = side(single, "a"), side(single, "b")
+    alone = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & fits()).drop(y["token"])
+    x = side(every, "a").join(crowds.select("token", F.col("family").alias("met")), "token")
+    x = x.filter((F.col("fa") != F.col("met")) & (~F.col("wa") | (F.col("fa") < F.col("met"))))
+    y = side(every.filter("crowd"), "b")
+    crowded = x.join(y, (x["token"] == y["token"]) & (F.col("met") == F.col("fb")) & fits()).drop(y["token"]).drop("met")
+    columns = ["na", "nb", "ea", "eb"]
+    met = alone.select("a", "b", *columns).union(crowded.select("a", "b", *columns))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in columns])
+    return counted.filter(F.col("times") >= _least_count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their digests, one row a class of equal sets, seed of the digests).
+
+    Two digests name a class, 128 bits; should two classes share the first one, other
+    seeds are taken.
+    """
+    seed = 0
+    while True:
+        base = io.staged(set_rows(spark, docs, seed), "shingle_sets")
+        known = base.filter("node is not null and doc_id is not null")
+        nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), (F.min("check") != F.max("check")).alias("clash"))
+        nodes = io.staged(nodes, "shingle_nodes")
+        if nodes.filter("clash").isEmpty():
+            return base, nodes.drop("clash"), seed
+        io.drop(base)
+        io.drop(nodes)
+        seed += 2
+
+
+def frequent_shingles(spark: SparkSession, reps: DataFrame, seed: int) -> np.ndarray:
+    frequent = np.zeros(0, U64)
+    for _ in range(FREQUENT_PASSES):
+        counts = short_lists(spark, reps, frequent, seed).select("token").groupBy("token").count().filter(F.col("count") >= FREQUENT_LEAST)
+        counts = io.staged(counts, "frequent")
+        most = FREQUENT_LEAST
+        while counts.filter(F.col("count") >= most).count() > FREQUENT_MOST - len(frequent):
+            most *= 2
+        often = counts.filter(F.col("count") >= most).select("token").toArrow().column("token").to_numpy()
+        frequent = np.union1d(frequent, often.view(U64))
+        io.drop(counts)
+    return frequent
 
 
 def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -259,74 +393,33 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable by links, the row's own included.
     Null, empty and wordless texts have 0 shingles and link with nothing; so do rows
-    with a null doc_id, whose component is null. Rows that repeat are equal sets.
+    with a null doc_id, whose component is null. Rows that repeat are equal sets; rows
+    that share a doc_id with different texts are linked each for itself.
     """
     io.ship(spark)
-    base = io.staged(set_rows(spark, docs), "shingle_sets")
-    nodes = io.staged(base.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "shingle_nodes")
+    base, nodes, seed = classes(spark, docs)
     copies = base.filter("node is not null and doc_id is not null").join(nodes.filter("rep <> top"), "node").filter("doc_id <> rep").select("doc_id").distinct()
     # a doc_id under which another text is the first of its class stays
     copies = io.staged(copies.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "shingle_copies")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    reps = known.join(io.limited(copies), "doc_id", "left_anti")
-
-    counts = short_lists(spark, reps, np.zeros(0, np.uint64)).select("token").groupBy("token").count().filter(F.col("count") >= FREQUENT_LEAST)
-    counts = io.staged(counts, "frequent")
-    most = FREQUENT_LEAST
-    while counts.filter(F.col("count") >= most).count() > FREQUENT_MOST:
-        most *= 2
-    often = counts.filter(F.col("count") >= most).select("token").toArrow().column("token").to_numpy()
-    frequent = np.sort(often.view(np.uint64))
-    io.drop(counts)
-
-    lists = io.staged(shared_lists(short_lists(spark, reps, frequent)), "short_lists")
-    # stars: each node with the two first-of-list nodes that it meets most often
-    # (only where a fourth of the short lists is shared: these links merely save work)
-    stars = lists.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("16 * c >= n")
-    best = stars.groupBy("node").agg(F.max(F.struct("c", "center")).alias("one"), F.max_by("center", F.struct(F.col("c"), -F.col("center"))).alias("two"))
-    tries = best.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("one.center", "two"))).alias("b"))
-    tested = io.staged(verified(spark, docs, nodes, tries.distinct(), with_rest=True), "tested")
+    maybe, others = io.parted(known, copies)
+    reps = io.staged(others.union(maybe.join(copies, "doc_id", "left_anti")), "first_texts")
+
+    frequent = frequent_shingles(spark, reps, seed)
+    lists = shared_lists(short_lists(spark, reps, frequent, seed))
+    held = lists.groupBy("node").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter(TEST * F.col("held") >= F.col("n")).select("node")
+    met = lists.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"), F.min("center_doc").alias("d"))
+    best = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("d")).alias("d"), "center")).alias("best"))
+    tries = best.join(held, "node", "left_semi").select(F.col("node").alias("a"), F.col("best.center").alias("b"))
+    tested = io.staged(verified(spark, reps, nodes, io.staged(tries, "tries"), seed, with_delta=True), "tested")
     first = tested.filter("linked").select("a", "b")
     roots = components(spark, first)
 
-    # merges between different components
-    placed = io.staged(lists.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    open_ = io.staged(placed.join(mixed, "token"), "open_lists")
-    io.drop(placed)
-    whole = io.staged(whole_lists(spark, reps, nodes, open_.select("node").distinct()), "whole_lists")
-    shared = whole.groupBy("node").agg(F.count("*").alias("shared"))
-    # A node with a tested center C: of what it shares with any partner, at most
-    # |A & C| lies in C and at most ``late`` is frequent; where T is more than their sum
-    # (``covered``), the rest of A outside C must be met, and its lists are short.
-    center = tested.filter("not linked").groupBy(F.col("a").alias("node")).agg(F.max_by(F.struct("overlap", "rest"), F.struct("overlap", "b")).alias("t"))
-    tokens = center.select("node", "t.overlap", F.explode("t.rest").alias("token"))
-    common = F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(frequent.view(np.int64)), "late": pa.array(np.ones(len(frequent), np.int64))})))
-    marked = io.staged(tokens.join(common, "token", "left"), "rests")
-    covered = marked.groupBy("node").agg((F.max("overlap") + F.count("late")).alias("covered"))
-    state = io.staged(
-        shared.join(open_.select("node", "root").distinct(), "node").join(covered, "node", "left").withColumn("covered", F.coalesce("covered", F.lit(1 << 40))), "open_nodes"
-    )
-
-    def meeting(mine: DataFrame, other: DataFrame) -> DataFrame:
-        x = mine.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("shared").alias("sa"), F.col("covered").alias("ca"))
-        y = other.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("shared").alias("sb"), F.col("covered").alias("cb"))
-        t = _required(F.col("na"), F.col("nb"))
-        return x.join(y, (x["token"] == y["token"]) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= t) & _WAY[mine is other](t))
-
-    able = F.col("shared") * 4 >= F.col("n") * 3  # or T is out of reach for any partner
-    short = io.staged(open_.drop("root").join(state, "node").filter(able), "able_lists")
-    met = meeting(short, short).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    general = met.filter(_reach(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
-    every = io.staged(whole.join(state, "node").filter(able), "able_whole")
-    io.drop(whole)
-    own = marked.filter("late is null").select("token", "node").join(every, ["token", "node"])
-    rest = meeting(own, every).groupBy("a", "b").agg(F.count("*").alias("r"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("ca").alias("ca"))
-    special = rest.filter(F.col("r") + F.col("ca") >= _required(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = io.staged(general.union(special).distinct(), "candidates")
-    second = verified(spark, docs, nodes, pairs).filter("linked").select("a", "b")
+    pairs = io.staged(family_pairs(tested, roots).union(other_pairs(lists, tested, roots)).distinct(), "candidates")
+    second = verified(spark, reps, nodes, pairs, seed).filter("linked").select("a", "b")
     links = io.staged(first.union(second), "links")
     roots = components(spark, links)
+    io.drop(reps)
 
     named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

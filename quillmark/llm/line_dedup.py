@@ -143,13 +143,11 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     copies = io.staged(chunk_copies(anchors, repeated), "line_copies")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = copies.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set(F.struct(*FIRST[1:])).alias("places"))
-    # texts are shuffled for the documents concerned only, while their list is short
-    holders = io.limited(copies.select(F.col("first_doc").alias("doc_id")).distinct())
-    firsts = _cut_bytes(spark, keyed.join(holders, "doc_id", "left_semi").join(places, "doc_id").select("doc_id", "text", "places"))
+    # texts are shuffled for the documents concerned only
+    holders, _ = io.parted(keyed, places)
+    firsts = _cut_bytes(spark, holders.join(places, "doc_id").select("doc_id", "text", "places"))
     wanted = copies.join(firsts, FIRST).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "bytes")).alias("__cuts"))
-    ids = copies.select("doc_id").distinct()
-    apart = io.few(ids)
-    touched = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(*docs.columns) if apart else docs
+    touched, others = io.parted(docs, copies.select("doc_id").distinct())
     joined = touched.join(wanted.withColumnRenamed("doc_id", "__doc"), touched["doc_id"] == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
     where = names.index("text")
@@ -187,9 +185,5 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             cols = [texts if k == where else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(size)], names=[*names, *REMOVED])
 
-    out = joined.mapInArrow(run, schema)
-    if apart:
-        zero = F.lit(0).cast("long")
-        rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").select(*docs.columns, zero.alias("n_removed"), zero.alias("removed_bytes"))
-        out = out.unionByName(rest)
-    return out
+    zero = F.lit(0).cast("long")
+    return joined.mapInArrow(run, schema).union(others.select(*docs.columns, zero.alias("n_removed"), zero.alias("removed_bytes")))
