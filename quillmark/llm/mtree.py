@@ -12,6 +12,7 @@ sees its nearest cell first and then those that its k-th score so far can't rule
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -26,27 +27,36 @@ from quillmark.llm import io
 
 PAGE, FANOUT = 64, 8
 #: Vectors of a tree at most (about); pivots at most; rows sampled for pivots.
-TREE, MOST_PIVOTS, SAMPLE = 2048, 256, 4096
+TREE, MOST_PIVOTS, SAMPLE = 2048, 8192, 32_768
 #: Rows for each pivot where that stays below MOST_PIVOTS.
 PER_PIVOT = 512
 #: Queries that one task holds for a tree.
 QUERY_BLOCK = 2048
 SLACK = 1e-6
 #: Stand for a score and an id that no vector has.
-NOTHING, NO_ID = -float(1 << 62), 1 << 62
+NOTHING, NO_ID = -(1 << 62), 1 << 62
+#: Squared norms below which scores are whole in float64, and fit a long at all.
+EXACT, LONG = float(1 << 53), float(1 << 62)
 
 
-def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, x array<long>, dim, norm2) with x = floor(256 * component).
+def finite(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(vec_id, v array<double>, size2): the vectors that take part.
 
-    Vectors that are null, empty or hold a null or non-finite component, and rows
-    without an id, are left out; rows that repeat count once.
+    Left out are rows without an id and vectors that are null, empty or hold a null or
+    non-finite component. An id that repeats counts once, with the least of its vectors
+    in the order of arrays. size2 is about the squared norm of floor(256 * v).
     """
-    x = F.col(embedding)
-    good = ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
-    rows = vectors.filter(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(good, F.lit(False)))
-    scaled = F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long"))
-    out = rows.select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("x")).distinct()
+    x = F.col(embedding).cast("array<double>")
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = vectors.filter(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True)))
+    one = rows.groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(x).alias("v"))
+    return one.withColumn("size2", F.aggregate("v", F.lit(0.0), lambda a, v: a + (F.abs(v) * 256 + 1) * (F.abs(v) * 256 + 1)))
+
+
+def integers(rows: DataFrame) -> DataFrame:
+    """(vec_id, x array<long>, dim, norm2) with x = floor(256 * component); of vectors
+    whose squared norm is below LONG."""
+    out = rows.select("vec_id", F.transform("v", lambda v: F.floor(v * 256).cast("long")).alias("x"))
     return out.select("vec_id", "x", F.size("x").alias("dim"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v).alias("norm2"))
 
 
@@ -95,7 +105,8 @@ def search(tree: dict, ids: np.ndarray, q: np.ndarray, most: float, best: np.nda
     """
     points = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
     base = np.einsum("ij,ij->i", points, points) + most
-    exact = points[:, :-1]  # whole numbers; their sums stay below 2**53
+    whole = np.float64 if max(most, float(np.einsum("ij,ij->i", points, points).max())) < EXACT else np.int64
+    exact = q.astype(whole)
     computed = 0
 
     def bound(distance: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -130,7 +141,7 @@ def search(tree: dict, ids: np.ndarray, q: np.ndarray, most: float, best: np.nda
             rows = rows[near.any(axis=1)]
             if not len(pick) or not len(rows):
                 continue
-            scores = exact[rows] @ page["x"][pick].astype(np.float64).T
+            scores = (exact[rows] @ page["x"][pick].astype(whole).T).astype(np.int64)
             computed += scores.size
             own = page["ids"][pick]
             scores[ids[rows][:, None] == own[None]] = NOTHING
@@ -205,28 +216,30 @@ def build_index(spark: SparkSession, rows: DataFrame, pivots: np.ndarray, most:
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _visit(spark: SparkSession, asked: DataFrame, index: DataFrame, most: float, k: int, blocks: int) -> DataFrame:
+def _visit(spark: SparkSession, asked: DataFrame, index: DataFrame, most: float, k: int) -> DataFrame:
     """Search each (query, cell) of ``asked`` in all trees of the cell.
 
-    A task holds one tree and one block of queries.
+    A task holds one tree and one block of queries; a tree is sent once for about
+    QUERY_BLOCK queries that ask for it.
     """
-    per_tree = index.select(F.col("cell").alias("cell"), F.col("tree").alias("tree"))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    left = asked.join(per_tree, "cell").withColumn("block", block)
-    right = index.select(F.col("cell").alias("cell"), F.col("tree").alias("tree"), "pages").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = io.staged(asked, "asked")
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    per_tree = index.select(F.col("cell").alias("cell"), F.col("tree").alias("tree")).join(blocks, "cell")
+    left = asked.join(per_tree, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    right = index.select(F.col("cell").alias("cell"), F.col("tree").alias("tree"), "pages").join(blocks.select(F.col("cell").alias("cell"), F.col("blocks").alias("blocks")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(trees):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         known = queries["kth"].notna().to_numpy()
-        kth = np.where(known, queries["kth"].fillna(0).to_numpy(np.float64), NOTHING)
+        kth = np.where(known, queries["kth"].fillna(0).to_numpy(np.int64), NOTHING)
         kth_id = np.where(known, queries["kth_id"].fillna(0).to_numpy(np.int64), NO_ID)
         best, best_ids = np.repeat(kth[:, None], k, axis=1), np.repeat(kth_id[:, None], k, axis=1)
         ids = queries["query_id"].to_numpy(np.int64)
         search(pickle.loads(trees["pages"].iloc[0]), ids, np.stack(queries["q"].to_numpy()), most, best, best_ids)
         fresh = (best > NOTHING) & ~((best == kth[:, None]) & (best_ids == kth_id[:, None]))
         row, col = np.nonzero(fresh)
-        return pd.DataFrame({"query_id": ids[row], "vec_id": best_ids[row, col], "score": best[row, col].astype(np.int64)})
+        return pd.DataFrame({"query_id": ids[row], "vec_id": best_ids[row, col], "score": best[row, col]})
 
     keys = ["cell", "tree", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND)
@@ -237,23 +250,59 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _scores_of_giants(spark: SparkSession, rows: DataFrame, every: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of those pairs of which one squared norm is
+    LONG or more, by whole numbers of any size, in blocks."""
+    giants = rows.filter(F.col("size2") >= LONG)
+    blocks, parts = max(1, -(-giants.count() // 256)), max(1, -(-rows.count() // 4096))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts)).cast("int")
+    left = giants.select("vec_id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = rows.select("vec_id", "v", (F.col("size2") >= LONG).alias("giant"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def whole(v: np.ndarray) -> list[int]:
+        return [int(c) * 256 if abs(c) >= 1 << 53 else math.floor(c * 256) for c in v.tolist()]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, list[tuple[int, int]]] = {}
+        seconds = [(int(i), whole(v), bool(g)) for i, v, g in zip(b["vec_id"], b["v"], b["giant"], strict=True)]
+        for i, v in zip(a["vec_id"], a["v"], strict=True):
+            x, i = whole(v), int(i)
+            for j, y, giant in seconds:
+                asks = [(i, j)] * (i % every == 0) + [(j, i)] * (j % every == 0 and not giant)
+                if j == i or len(x) != len(y) or not asks:
+                    continue
+                score = max(min(sum(p * q for p, q in zip(x, y, strict=True)), (1 << 63) - 1), -(1 << 63))
+                for q, c in asks:
+                    found.setdefault(q, []).append((-score, c))
+        best = [(q, c, -s) for q, pairs in found.items() for s, c in heapq.nsmallest(k, pairs)]
+        return pd.DataFrame(best, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, FOUND)
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``
     its k largest integer inner products with other rows, ties to the smaller id.
 
     A vector is compared with those of its own length. Fewer than k others give fewer
-    rows, none give none.
+    rows, none give none. Scores are exact; beyond 64 bits they count as the nearest
+    long. See :func:`finite` for vectors that take no part and for ids that repeat.
     """
     io.ship(spark)
-    rows = io.staged(integers(vectors), "vectors")
+    every_row = io.staged(finite(vectors), "finite_vectors")
+    rows = io.staged(integers(every_row.filter(F.col("size2") < LONG)), "vectors")
     out = None
     for dim, n, most in [(r[0], r[1], float(r[2])) for r in rows.groupBy("dim").agg(F.count("*"), F.max("norm2")).orderBy("dim").collect()]:
         own = rows.filter(F.col("dim") == dim)
         part = _top_k(spark, own, n, most, dim, k, every)
         out = part if out is None else out.union(part)
+    if not every_row.filter(F.col("size2") >= LONG).isEmpty():
+        far = _scores_of_giants(spark, every_row, every, k)
+        out = far if out is None else out.union(far)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _ranked(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _top_k(spark: SparkSession, rows: DataFrame, n: int, most: float, dim: int, k: int, every: int) -> DataFrame:
@@ -262,7 +311,6 @@ def _top_k(spark: SparkSession, rows: DataFrame, n: int, most: float, dim: int,
     radii = {r[0]: r[1] for r in index.groupBy("cell").agg(F.max("radius")).collect()}
     shared = spark.sparkContext.broadcast((pivots, np.array([radii.get(c, -1.0) for c in range(len(pivots))])))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    blocks = max(1, -(-(n // every + 1) // QUERY_BLOCK))
 
     def limits(q: np.ndarray) -> np.ndarray:
         """Bound of each query (row) in each cell (column)."""
@@ -280,7 +328,7 @@ def _top_k(spark: SparkSession, rows: DataFrame, n: int, most: float, dim: int,
 
     begun = io.staged(asked.mapInArrow(nearest, "query_id long, q array<long>, cell int"), "first_cells")
     nothing = F.lit(None).cast("long")
-    first = _visit(spark, begun.select("query_id", "q", "cell", nothing.alias("kth"), nothing.alias("kth_id")), index, most, k, blocks)
+    first = _visit(spark, begun.select("query_id", "q", "cell", nothing.alias("kth"), nothing.alias("kth_id")), index, most, k)
     first = io.staged(_ranked(first, k).drop("rank"), "first_found")
     kth = first.groupBy("query_id").agg(F.count("*").alias("got"), F.min(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("w"))
     full = F.col("got") == k
@@ -293,7 +341,7 @@ def _top_k(spark: SparkSession, rows: DataFrame, n: int, most: float, dim: int,
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 limit = limits(_matrix(part.column(1), dim))
-                least = np.asarray(part.column(3).cast(pa.float64()).fill_null(-np.inf))
+                least = np.asarray(part.column(3).cast(pa.float64(), safe=False).fill_null(-np.inf))
                 open_ = (limit >= least[:, None]) & np.isfinite(limit)
                 open_[np.arange(len(limit)), np.asarray(part.column(2))] = False
                 row, cell = np.nonzero(open_)
@@ -303,5 +351,5 @@ def _top_k(spark: SparkSession, rows: DataFrame, n: int, most: float, dim: int,
                 )
 
     more = state.mapInArrow(others, "query_id long, q array<long>, cell int, kth long, kth_id long")
-    second = _visit(spark, more, index, most, k, blocks)
-    return _ranked(first.union(second), k)
+    second = _visit(spark, more, index, most, k)
+    return first.union(second)

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -158,14 +160,35 @@ def test_topk_equals_brute_force(spark):
     data += [(900, None), (901, [None] + [1.0] * 7), (902, [float("nan")] * 8), (903, []), (950, [1.0, 2.0]), (951, [2.0, 2.0]), (100, data[100][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in mtree.top_k(spark, df).collect())
-    ok = {i: np.floor(np.array(v) * 256).astype(np.int64) for i, v in data if v and None not in v and np.isfinite(v).all()}
+    assert got == brute_top(data)
+    assert mtree.top_k(spark, df.limit(0)).count() == 0
+
+
+def brute_top(data, k=5):
+    """By whole numbers of any size; scores beyond 64 bits count as the nearest long."""
+    ok = {}
+    for i, v in data:
+        if i is not None and v and None not in v and np.isfinite(v).all():
+            x = [math.floor(Fraction(c) * 256) for c in v]
+            ok[i] = min(ok.get(i, x), x)
     want = []
     for i, q in ok.items():
         if i % 50 == 0:
-            best = sorted((-int(q @ x), j) for j, x in ok.items() if j != i and len(x) == len(q))[:5]
-            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert got == sorted(want)
-    assert mtree.top_k(spark, df.limit(0)).count() == 0
+            dot = lambda x: max(min(sum(a * b for a, b in zip(q, x, strict=True)), 2**63 - 1), -(2**63))  # noqa: B023, E731
+            best = sorted((-dot(x), j) for j, x in ok.items() if j != i and len(x) == len(q))[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("scale", [3e5, 1e8])
+def test_topk_of_large_components(spark, scale):
+    """Scores beyond 2**53 and beyond 2**63; repeated ids with other vectors."""
+    r = np.random.default_rng(6)
+    data = [(i, [float(x) for x in scale * r.normal(size=16)]) for i in range(220)]
+    data += [(300, [1e12] * 16), (301, [-1e12] * 16), (350, [1e300] + [0.5] * 15), (351, [1e-300] * 16), (100, [2.0] * 16), (101, [2.0] * 16), (100, [0.0] * 16)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in mtree.top_k(spark, df).collect())
+    assert got == brute_top(data)
 
 
 def test_quality_base_counts(spark, docs, none):
@@ -358,17 +381,66 @@ def test_gear_chunks(spark, docs, none):
     assert substring_dedup.report(spark, none).count() == 0
 
 
-def test_cross_entropy_difference(spark, docs, none):
-    rows = [(i, "alpha beta gamma delta" if i % 2 else "one two three four") for i in range(200)] + [(500, None), (501, ""), (None, "alpha beta")]
+def brute_losses(rows, targets):
+    """Bits a word of each row under both models, its own row left out, by dictionaries."""
+    toks = [WORD.findall((t or "").translate(LOWER)) for _, t in rows]
+    near = [i is not None and i in targets for i, _ in rows]
+
+    def count(own, only):
+        one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        for k, w in enumerate(toks):
+            if k != own and (near[k] or not only):
+                one.update(w)
+                two.update(zip([None, *w], w))
+                ctx.update([None, *w] if w else [])
+        return one, two, ctx
+
+    kinds = len({w for t in toks for w in t})
+    out = []
+    for k, w in enumerate(toks):
+        every = count(k, False)
+        bits = []
+        for one, two, ctx in (count(k, True), every):
+            n, total = sum(one.values()), 0.0
+            for h, x in zip([None, *w], w):
+                base = (every[0][x] + 0.5) / (sum(every[0].values()) + (kinds + 1) / 2)
+                p = lm_scoring.SHARE * (one[x] / n if n else 0) + (1 - lm_scoring.SHARE) * base
+                total -= np.log2((two[h, x] + lm_scoring.PRIOR * p) / (ctx[h] + lm_scoring.PRIOR))
+            bits.append(total / len(w) if w else None)
+        out.append((len(w), *bits))
+    return out
+
+
+@pytest.mark.parametrize("size", [16_000_000, 3000])
+def test_cross_entropy_equals_brute_force(spark, docs, none, monkeypatch, size):
+    """Null, empty and long texts, repeated rows, rows without an id; one group and many."""
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", size)
+    rows = rows_of(docs)
+    ids = spark.createDataFrame([(i,) for i in (4, 5, 12, 13, 20, 20, 9999, None)], "doc_id long")
+    got = [(r.n_tokens, r.target_bits, r.background_bits, r.doc_id) for r in lm_scoring.score(spark, docs, ids).collect()]
+    want = brute_losses(rows, {4, 5, 12, 13, 20})
+    key = lambda x: (x[0], x[1] or 0.0, x[2] or 0.0)
+    assert sorted(str(x[3]) for x in got) == sorted(str(i) for i, _ in rows)
+    for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert x[0] == y[0] and (x[1] is None) == (y[1] is None)
+        assert x[1] is None or np.allclose(x[1:3], y[1:3], atol=1e-9)
+    assert lm_scoring.score(spark, none, ids).count() == 0
+
+
+def test_cross_entropy_tells_target_and_copies_apart(spark):
+    r = random.Random(3)
+    vocab = {k: [f"{k}{i}" for i in range(60)] for k in "ab"}
+    rows = [(i, " ".join(r.choice(vocab["ab"[i % 2]]) for _ in range(50))) for i in range(200)]
+    rows += [(1000 + k, " ".join(f"rare{k}x{j}" for j in range(40))) for k in (0, 0, 1)]
+    rows = [(i + n * 10_000, t) for n, (i, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    target = df.filter("doc_id % 4 = 1").select("doc_id")
-    out = {r.doc_id: r for r in lm_scoring.score(spark, df, target).collect()}
-    assert out[1].score < 0 < out[2].score
-    assert out[500].n_tokens == 0 and out[500].score is None and out[501].score is None
-    assert abs(out[1].target_bits - out[1].background_bits - out[1].score) < 1e-12
-    p = np.exp2(-lm_scoring.losses(np.random.default_rng(0).poisson(0.01, (lm_scoring.VOCAB + 1, lm_scoring.VOCAB))).astype(float)).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
-    assert lm_scoring.score(spark, none, target).count() == 0
+    ids = df.limit(0).select("doc_id").union(spark.createDataFrame([(rows[k][0],) for k in range(1, 200, 4)], "doc_id long"))
+    out = {x.doc_id: x for x in lm_scoring.score(spark, df, ids).collect()}
+    assert max(out[rows[k][0]].score for k in range(1, 200, 2)) < min(out[rows[k][0]].score for k in range(0, 200, 2))
+    twice, twin, once = (out[rows[k][0]].background_bits for k in (200, 201, 202))
+    assert twice == twin < once - 5
+    blank = lm_scoring.score(spark, df, ids.limit(0)).collect()
+    assert all(np.isfinite(x.score) for x in blank)
 
 
 def test_mixing_meets_targets(spark, none):
