@@ -39,15 +39,44 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+Newer = tuple[str, dict[str, str]]
+
+
+def newer_characters(raw: bytes) -> Newer:
+    """Where the tokenizers library's character tables differ from ours: code points that
+    the regex module calls letters or digits and the library doesn't, and the lower case
+    of those that only the library lowers.
+
+    Asked are code points that Python's own tables hold unassigned; all others agree.
+    """
+    key = hashlib.sha256(raw).hexdigest()
+    if key not in _NEWER:
+        import regex
+        from tokenizers import Tokenizer
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        asked = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+        library = Tokenizer.from_str(raw.decode())
+        # among marks a mark forms one piece with them, anything else a piece of its own
+        pieces = library.pre_tokenizer.pre_tokenize_str("".join(f"!{c}! " for c in asked)) if asked and library.pre_tokenizer else []
+        lowered = library.normalizer.normalize_str("!".join(asked)).split("!") if asked and library.normalizer else asked
+        _NEWER[key] = "".join(asked[a // 4] for _, (a, b) in pieces if b - a == 3), {c: x for c, x in zip(asked, lowered, strict=True) if c != x}
+    return _NEWER[key]
+
+
+_NEWER: dict[str, Newer] = {}
+
+
 class PrefixBPE:
     """A BPE vocabulary with merges, as a prefix-DP encoder.
 
     ``spec`` is the parsed JSON of a tokenizers file: BPE model with an
     end-of-word suffix, byte-level symbols, and NFC + white space + lower-case
-    normalisation, or the parts of these that the file asks for.
+    normalisation, or the parts of these that the file asks for. ``newer``: see
+    :func:`newer_characters`.
     """
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, newer: Newer = ("", {})):
         import ahocorasick
         import regex
 
@@ -91,6 +120,14 @@ class PrefixBPE:
         steps = json.dumps(spec.get("normalizer") or {})
         self.nfc, self.lower = '"NFC"' in steps, "Lowercase" in steps
         self.pieces = regex.compile(_PIECES)
+        marks, self.newer_lower = newer
+        self.newer = None
+        if marks or self.newer_lower:
+            self.newer = regex.compile("[" + regex.escape(marks + "".join(self.newer_lower), special_only=False) + "]")
+            odd = "[" + regex.escape(marks or "!", special_only=False) + "]"
+            own = _PIECES.replace("[\\p{L}]", f"[\\p{{L}}--{odd}]").replace("[\\p{N}]", f"[\\p{{N}}--{odd}]")
+            head, rest = own.rsplit("|", 1)
+            self.newer_pieces = regex.compile(f"{head}|(?:{rest[:-1]}|{odd})+", regex.V1)
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         for text, i in self.special.items():
             self.tokens[i] = text
@@ -157,7 +194,11 @@ class PrefixBPE:
             # one character at a time: no final-sigma rule
             text = text.lower() if text.isascii() or "Σ" not in text else text.replace("Σ", "σ").lower()
         out: list[int] = []
-        for piece in self.pieces.findall(text):
+        pieces = self.pieces
+        if self.newer is not None and not text.isascii() and self.newer.search(text):
+            pieces = self.newer_pieces
+            text = text.translate(str.maketrans(self.newer_lower))
+        for piece in pieces.findall(text):
             ids = self.words.get(piece)
             if ids is None:
                 if len(self.words) > _CACHE_LIMIT:
@@ -213,12 +254,12 @@ class PrefixBPE:
 _LOADED: dict[str, PrefixBPE] = {}
 
 
-def load(raw: bytes) -> PrefixBPE:
+def load(raw: bytes, newer: Newer = ("", {})) -> PrefixBPE:
     """One encoder per vocabulary and Python process."""
     key = hashlib.sha256(raw).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = PrefixBPE(json.loads(raw))
+        _LOADED[key] = PrefixBPE(json.loads(raw), newer)
     return _LOADED[key]
 
 
@@ -251,7 +292,8 @@ def encode_decode(
     """
     ship(spark)
     with open(vocab_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    shared = spark.sparkContext.broadcast((raw, newer_characters(raw)))
     kept = list(keep)
     schema = T.StructType([docs.schema[k] for k in kept] + outputs.fields)
     n_kept = len(kept)
@@ -259,7 +301,7 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        bpe = load(shared.value)
+        bpe = load(*shared.value)
         arrow = to_arrow_schema(outputs)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
