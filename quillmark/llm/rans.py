@@ -3,8 +3,9 @@
 A shard holds the ids of consecutive documents. One frequency table, counted over the
 shard, is shared by its blocks; every block interleaves ``LANES`` coder states over one
 stream of words and can be decoded by itself, from its start or from any of its
-checkpoints (the states and the word position every ``CHECKPOINT`` steps). Payload and
-decoded ids are each covered by a checksum. Numpy steps all blocks of a shard at once.
+checkpoints (the states and the word position every ``CHECKPOINT`` steps). The tables
+before the blocks, each block's head and payload and its decoded ids are covered by
+checksums. Numpy steps all blocks of a shard at once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import io
 
-MAGIC = b"QRNS0001"
+MAGIC = b"QRNS0002"
 LANES, STEPS, CHECKPOINT = 256, 512, 128
 #: Ids after which a shard is closed (with the document that crosses it).
 SHARD_IDS = 4_000_000
@@ -87,6 +88,7 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, doc_valid: np.ndarray, lengths:
         doc_valid.astype("u1").tobytes(),
         lengths.astype("<u8").tobytes(),
     ]
+    out.append(struct.pack("<I", zlib.crc32(b"".join(out))))
     freq_f, cum_f = freq.astype(np.float64), cum.astype(np.float64)
     scale, word, slots = float(LOW) * 2.0 ** (wide - bits), 2.0**wide, 2.0**bits
     for first in range(0, n_blocks, 32):
@@ -121,7 +123,8 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, doc_valid: np.ndarray, lengths:
             states = points[:, b].astype("<u8").tobytes()
             real = ids[(first + b) * per_block : (first + b + 1) * per_block]
             body = at + states + payload
-            out.append(_BLOCK.pack(len(real), len(payload), zlib.crc32(body), zlib.crc32(real.astype("<u4").tobytes())))
+            head = struct.pack("<II", len(real), len(payload))
+            out.append(_BLOCK.pack(len(real), len(payload), zlib.crc32(body, zlib.crc32(head)), zlib.crc32(real.astype("<u4").tobytes())))
             out.append(body)
     return b"".join(out)
 
@@ -137,6 +140,8 @@ class Shard:
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
+            if at + n * np.dtype(kind).itemsize > len(data):
+                raise Corrupt("tables")
             got = np.frombuffer(data, dtype=kind, count=n, offset=at)
             at += got.nbytes
             return got
@@ -144,8 +149,9 @@ class Shard:
         self.used, freq = take("<u4", n_used), take("<u4", n_used).astype(np.int64)
         self.doc_ids, self.doc_valid = take("<i8", self.n_docs), take("u1", self.n_docs).astype(bool)
         self.lengths = take("<u8", self.n_docs).astype(np.int64)
-        if int(freq.sum()) != 1 << self.bits:
-            raise Corrupt("frequency table")
+        covered = at
+        if zlib.crc32(data[:covered]) != int(take("<u4", 1)[0]) or int(freq.sum()) != 1 << self.bits:
+            raise Corrupt("tables")
         self.word = word_bits(self.bits)
         self.slot_id = np.repeat(self.used, freq)
         self.slot_freq = np.repeat(freq, freq)
@@ -153,10 +159,13 @@ class Shard:
         self.points = self.steps // self.every
         self.blocks = []
         for _ in range(n_blocks):
+            if at + _BLOCK.size > len(data):
+                raise Corrupt("cut short")
             n, n_bytes, crc, ids_crc = _BLOCK.unpack_from(data, at)
+            head = data[at : at + 8]
             at += _BLOCK.size
             size = 4 * self.points + 8 * self.points * self.lanes + n_bytes
-            if zlib.crc32(data[at : at + size]) != crc:
+            if at + size > len(data) or zlib.crc32(data[at : at + size], zlib.crc32(head)) != crc:
                 raise Corrupt("payload checksum")
             where = np.frombuffer(data, "<u4", self.points, at)
             states = np.frombuffer(data, "<u8", self.points * self.lanes, at + 4 * self.points).reshape(self.points, self.lanes)
@@ -362,19 +371,21 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocab_path: str, path: st
             )
 
         gc.disable()  # nothing here forms cycles, and the lookup tables are large
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                for key, ids in zip(piece.column(0).to_pylist(), tok.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                    held.append(ids + end)
-                    keys.append(key)
-                    size += len(ids) // 4 + 1
-                    if size >= SHARD_IDS:
-                        yield shard()
-                        held, keys, size, seq = [], [], 0, seq + 1
-        if keys:
-            yield shard()
-        gc.enable()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    piece = batch.slice(at, 512)
+                    for key, ids in zip(piece.column(0).to_pylist(), tok.encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
+                        held.append(ids + end)
+                        keys.append(key)
+                        size += len(ids) // 4 + 1
+                        if size >= SHARD_IDS:
+                            yield shard()
+                            held, keys, size, seq = [], [], 0, seq + 1
+            if keys:
+                yield shard()
+        finally:
+            gc.enable()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path)

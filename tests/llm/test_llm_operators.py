@@ -75,6 +75,35 @@ def test_bpe_dp_on_random_strings():
         assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_classes_of_all_characters():
+    """Every code point between letters, digits and marks, and a random mix of odd ones."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    raw = open(path, "rb").read()
+    lib, newer = Tokenizer.from_file(path), bpe_dp.newer_characters(raw)
+    own, r, odd = bpe_dp.PrefixBPE(bpe_dp.json.loads(raw), newer), random.Random(4), newer[0] + "".join(newer[1])
+    every = [chr(c) for c in [*range(0x20, 0xD800), *range(0xE000, 0x30000, 3), 0x10FFFF]] + list(odd[:300])
+    texts_ = ["".join(f"a{c}1{c}! {c}" for c in every[k : k + 50]) for k in range(0, len(every), 50)]
+    texts_ += ["".join(r.choice(odd + "ab1 .'é") for _ in range(40)) for _ in range(300)]
+    for t, want in zip(texts_, lib.encode_batch(texts_, add_special_tokens=False), strict=True):
+        assert own.encode(t) == want.ids
+
+
+def test_rans_tokenizer_on_random_strings():
+    """Parts between spaces, looked up, give the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, r = Tokenizer.from_file(path), random.Random(13)
+    own = rans.Tokenizer(open(path, "rb").read())
+    texts_ = ["".join(r.choice("aabcdehit  \n\t.,;!?'1é🙂\u00a0\u2003-") for _ in range(r.randrange(60))) for _ in range(4000)]
+    for k in range(0, len(texts_), 100):
+        part = texts_[k : k + 100]
+        want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(part, add_special_tokens=False)]
+        assert own.encode(part) == want
+
+
 def test_rans_round_trip_and_starts(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -99,10 +128,14 @@ def test_rans_shard(n, k):
     assert (shard.ids() == ids).all()
     for a, b in [(0, 1), (n // 2, n), (max(0, n - 3), n)]:
         assert (shard.ids_between(a, b) == ids[a:b]).all()
-    broken = bytearray(data)
-    broken[-1] ^= 1
-    with pytest.raises(rans.Corrupt):
-        rans.Shard(bytes(broken)).ids()
+    for at in [*range(8, 64, 3), len(data) // 2, len(data) - 1]:  # head, lengths, payload
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises((rans.Corrupt, MemoryError, OverflowError)):
+            rans.Shard(bytes(broken)).ids()
+    for short in (data[:40], data[:-1], b""):
+        with pytest.raises(rans.Corrupt):
+            rans.Shard(short).ids()
 
 
 def shingle_set(text):
