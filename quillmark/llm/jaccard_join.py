@@ -293,12 +293,14 @@ def family_pairs(tested: DataFrame, roots: DataFrame) -> DataFrame:
     )
     placed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = io.staged(placed, "family_members")
-    open_ = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("family")
+    salt = F.pmod(F.col("node"), F.lit(SALTS)).alias("salt")  # a family may be large
+    open_ = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    open_ = open_.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     # what any partner needs at least, a linked member one that isn't linked and the other way round
     threshold = _required(F.col("n"), F.col("c"))
     n, c, o = F.col("n"), F.col("c"), F.col("o")
     need = F.when(F.col("linked"), F.floor((3 * n + 4 * c) / 7) - o).otherwise(threshold - o)
-    rows = placed.join(open_, "family").select("family", "node", "n", "c", "o", "root", F.greatest(need, F.lit(1)).alias("need"), F.size("delta").alias("d"), F.explode("delta").alias("token"))
+    rows = placed.withColumn("salt", salt).join(open_, ["family", "salt"]).select("family", "node", "n", "c", "o", "root", F.greatest(need, F.lit(1)).alias("need"), F.size("delta").alias("d"), F.explode("delta").alias("token"))
     rows = io.staged(rows, "family_lists")
     often = rows.groupBy("family", "token").agg(F.count("*").alias("times"))
     place = W.partitionBy("node").orderBy("times", "token")
