@@ -1,7 +1,8 @@
 """Grouped score metrics: ROC family, calibration, risk and coverage.
 
 All of them aggregate to one row per distinct score of a group first, with a map-side
-partial sum; only those rows meet in the windows, which are partitioned by group.
+partial sum. Running sums over a group go by blocks of neighbouring scores (see
+:func:`running`), so that no task ever sorts a whole group.
 """
 
 from __future__ import annotations
@@ -23,11 +24,40 @@ def _key(by: list[str]) -> list:
     return [F.col(b) for b in by] or [F.lit(1)]
 
 
+#: Blocks of a group of scores.
+BLOCKS = 64
+
+
+def running(rows: DataFrame, by: list[str], value: str, sums: list[str], other: list[str] | None = None) -> DataFrame:
+    """``rows`` with {name}_below, the sum over rows of the group with a smaller value, and
+    {name}_all, that over the group, for each name of ``sums``.
+
+    Rows of a group are cut into BLOCKS by approximate quantiles of the value. Block sums
+    are added up in order, at most BLOCKS + 1 rows a group, and the rows of a block within
+    it; where the cuts lie doesn't show in the result. ``other``: further order columns
+    that tell rows of equal value apart.
+    """
+    order = [value, *(other or [])]
+    cuts = [i / BLOCKS for i in range(1, BLOCKS)]
+    edges = rows.groupBy(*by).agg(F.percentile_approx(value, cuts, 2000).alias("__edges"))
+    placed = rows.join(edges, by) if by else rows.crossJoin(F.broadcast(edges))  # one row without groups
+    placed = placed.withColumn("__block", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    blocks = placed.groupBy(*by, "__block").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = W.partitionBy(*_key(by)).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*_key(by))
+    starts = blocks.select(
+        *by, "__block", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_start") for c in sums], *[F.sum(f"__{c}").over(whole).alias(f"{c}_all") for c in sums]
+    )
+    joined = placed.join(starts, [*by, "__block"])
+    within = W.partitionBy(*by, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    below = {f"{c}_below": F.col(f"__{c}_start") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}
+    return joined.withColumns(below).drop("__block", *[f"__{c}_start" for c in sums])
+
+
 def roc_auc(df: DataFrame, by: list[str], y: str = "label", s: str = "score", name: str = "auc") -> DataFrame:
     """Mann-Whitney AUC with averaged ties; null where a group has one class."""
-    rows = _by_score(df, by, y, s)
-    below = W.partitionBy(*_key(by)).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    won = rows.withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") * 0.5))
+    rows = running(_by_score(df, by, y, s), by, "s", ["n"])
+    won = rows.withColumn("w", F.col("p") * (F.col("n_below") + F.col("n") * 0.5))
     total = won.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(*by, F.try_divide(F.col("w").cast("double"), F.col("p").cast("double") * F.col("n")).alias(name))
 
@@ -39,11 +69,9 @@ def leak_auc(df: DataFrame, by: list[str], y: str = "label", s: str = "score", n
 
 def roc_points(df: DataFrame, by: list[str], y: str = "label", s: str = "score") -> DataFrame:
     """(by, s, tp, fp, p, n): counts at threshold s (score >= s) and in the group."""
-    rows = _by_score(df, by, y, s)
-    down = W.partitionBy(*_key(by)).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*_key(by))
+    rows = running(_by_score(df, by, y, s), by, "s", ["p", "n"])
     return rows.select(
-        *by, "s", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("n").over(whole).alias("nn")
+        *by, "s", (F.col("p_all") - F.col("p_below")).alias("tp"), (F.col("n_all") - F.col("n_below")).alias("fp"), F.col("p_all").alias("np"), F.col("n_all").alias("nn")
     )
 
 
@@ -115,34 +143,39 @@ def brier(y: Column, p: Column) -> Column:
 
 
 def average_precision(df: DataFrame, by: list[str], y: str = "label", s: str = "score") -> DataFrame:
-    points = roc_points(df, by, y, s)
-    order = W.partitionBy(*_key(by)).orderBy(F.desc("s"))
-    gain = (F.col("tp") - F.coalesce(F.lag("tp").over(order), F.lit(0))).cast("double") / F.col("np")
-    precise = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
-    return points.withColumn("g", gain * precise).groupBy(*by).agg(F.sum("g").alias("ap"))
+    # each positive counts the precision at its own score
+    rows = running(_by_score(df, by, y, s), by, "s", ["p", "n"])
+    tp, fp = F.col("p_all") - F.col("p_below"), F.col("n_all") - F.col("n_below")
+    return rows.withColumn("g", F.col("p").cast("double") / F.col("p_all") * tp / (tp + fp)).groupBy(*by).agg(F.sum("g").alias("ap"))
 
 
 def risk_coverage(df: DataFrame, by: list[str], correct: str, confidence: str, row_id: str) -> DataFrame:
     """(by, row_id, coverage, risk) as rows are taken in order of confidence."""
-    order = W.partitionBy(*_key(by)).orderBy(F.desc(confidence), row_id)
-    rn, total = F.row_number().over(order), F.count("*").over(W.partitionBy(*_key(by)))
-    wrong = F.sum(F.lit(1) - F.col(correct)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return df.select(*by, row_id, (rn / total.cast("double")).alias("coverage"), (wrong / rn.cast("double")).alias("risk"))
+    one = df.select(*by, row_id, (-F.col(confidence)).alias("__v"), (F.lit(1) - F.col(correct)).alias("__wrong"), F.lit(1).alias("__one"))
+    rows = running(one, by, "__v", ["__wrong", "__one"], [row_id])
+    taken = (F.col("__one_below") + 1).cast("double")
+    return rows.select(*by, row_id, (taken / F.col("__one_all")).alias("coverage"), ((F.col("__wrong_below") + F.col("__wrong")) / taken).alias("risk"))
 
 
 def aurc(curve: DataFrame, by: list[str], row_id: str) -> DataFrame:
     """Area under a risk-coverage curve by trapezoids."""
-    order = W.partitionBy(*_key(by)).orderBy("coverage")
-    strip = (F.col("risk") + F.lag("risk").over(order)) * 0.5 * (F.col("coverage") - F.lag("coverage").over(order))
-    return curve.withColumn("strip", strip).groupBy(*by).agg(F.sum("strip").alias("aurc"))
+    # risk * taken is the number of errors so far, so a point's predecessor is known from
+    # the point itself: no order is needed
+    rows = curve.join(curve.groupBy(*by).agg(F.count("*").alias("__all")), by) if by else curve.crossJoin(F.broadcast(curve.agg(F.count("*").alias("__all"))))
+    taken = F.rint(F.col("coverage") * F.col("__all"))
+    wrong = F.rint(F.col("risk") * taken)
+    marked = rows.select(*by, "risk", taken.alias("t"), wrong.alias("w"), F.col("__all"))
+    later = marked.select(*by, (F.col("t") - 1).alias("t"), F.col("risk").alias("next"))
+    strips = marked.join(later, [*by, "t"]).withColumn("strip", (F.col("risk") + F.col("next")) * 0.5 / F.col("__all"))
+    return strips.groupBy(*by).agg(F.sum("strip").alias("aurc"))
 
 
 def mean_rank(df: DataFrame, by: list[str], s: str, name: str = "rank", percent: bool = False) -> DataFrame:
     """Rank with ties averaged, from 1; as a share of the group if ``percent``."""
-    group, order = W.partitionBy(*_key(by)), W.partitionBy(*_key(by)).orderBy(s)
-    ties = F.count("*").over(W.partitionBy(*_key(by), F.col(s)))
-    rank = F.rank().over(order) + (ties - 1) * 0.5
-    return df.withColumn(name, rank / F.count("*").over(group) if percent else rank.cast("double"))
+    ties = running(df.filter(F.col(s).isNotNull()).groupBy(*by, s).agg(F.count("*").alias("__m")), by, s, ["__m"])
+    rank = F.col("__m_below") + (F.col("__m") + 1) * 0.5
+    table = ties.select(*by, s, (rank / F.col("__m_all") if percent else rank.cast("double")).alias(name))
+    return df.join(table, [*by, s], "left")
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -151,7 +151,7 @@ def _(spark, sf):
     return sampling.ranked(manifest(spark, sf), ["source", "label"], "path").filter("rn <= 3").select("path")
 
 
-@query("J05_aligned_grids", "SELECT g.condition, g.image_idx, round(g.score+h.score,9) AS s FROM grid g JOIN grid h USING (condition, image_idx) WHERE g.k>=2")
+@query("J05_aligned_grids", ", m AS MATERIALIZED (SELECT condition, image_idx, k, score FROM grid) SELECT g.condition, g.image_idx, round(g.score+h.score,9) AS s FROM m g JOIN m h ON g.image_idx=h.image_idx AND g.condition=h.condition WHERE g.k>=2")
 def _(spark, sf):
     g = grid(spark, sf)
     other = g.select("condition", "image_idx", F.col("score").alias("other"))

@@ -24,10 +24,10 @@ _REGISTRY = ", reg(source, real_buckets, excluded) AS (VALUES " + ", ".join(
 ) + ")"
 
 
-@query("S07_pair_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, '/f/'||o_orderkey AS path, 1 AS label, 'g'||(o_custkey%6) AS generator FROM orders WHERE o_orderkey%10=0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), '/r/'||o_orderkey, 0, '' FROM orders WHERE o_orderkey%10=0")
+@query("S07_pair_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, '/f/'||o_orderkey AS path, 1 AS label, 'g'||(o_custkey%6) AS generator FROM orders UNION ALL SELECT CAST(o_orderkey AS VARCHAR), '/r/'||o_orderkey, 0, '' FROM orders")
 def _(spark, sf):
     key = F.col("o_orderkey").cast("string")
-    pairs = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+    pairs = table(spark, sf, "orders").select(
         key.alias("image"), F.concat(F.lit("/f/"), key).alias("fake"), F.concat(F.lit("/r/"), key).alias("real"), F.concat(F.lit("g"), (F.col("o_custkey") % 6).cast("string")).alias("g")
     )
     return manifests.pairs_to_rows(pairs, "fake", "real", "image", "g")
@@ -185,7 +185,7 @@ def _(spark, sf):
 
 
 _HASH = """, h AS (SELECT vec_id, label, list_transform(embedding, lambda x: x>0) AS bits FROM embeddings),
-  pairs AS (SELECT a.vec_id AS cand, b.vec_id AS demo FROM h a JOIN h b ON a.label<>0 AND b.label=0 AND len(list_filter(list_zip(a.bits,b.bits), lambda z: z[1]<>z[2]))<=20)"""
+  pairs AS (SELECT a.vec_id AS cand, b.vec_id AS demo FROM h a JOIN h b ON a.label<>0 AND b.label=0 AND len(list_filter(list_zip(a.bits,b.bits), lambda z: z[1]<>z[2]))<=4)"""
 
 
 @query("J08_hamming_leaks", _HASH + " SELECT cand, min(demo) AS demo FROM pairs GROUP BY 1")
@@ -193,7 +193,7 @@ def _(spark, sf):
     h = table(spark, sf, "embeddings").select("vec_id", "label", fs.sign_hash(F.col("embedding")).alias("hash"))
     cands = h.filter("label <> 0").select(F.col("vec_id").alias("cand"), "hash")
     demos = h.filter("label = 0").select(F.col("vec_id").alias("demo"), F.col("hash").alias("demo_hash"))
-    return joins.first_leak(joins.hamming_join(cands, demos, 20), "cand", "demo", "demo")
+    return joins.first_leak(joins.hamming_join(cands, demos, 4), "cand", "demo", "demo")
 
 
 @query("J09_drop_leaked", _HASH + " SELECT vec_id FROM embeddings WHERE label<>0 AND vec_id NOT IN (SELECT cand FROM pairs)")
@@ -202,7 +202,7 @@ def _(spark, sf):
     h = e.select("vec_id", "label", fs.sign_hash(F.col("embedding")).alias("hash"))
     cands = h.filter("label <> 0").select("vec_id", "hash")
     demos = h.filter("label = 0").select(F.col("vec_id").alias("demo"), F.col("hash").alias("demo_hash"))
-    return cands.select("vec_id").join(joins.hamming_join(cands, demos, 20).select("vec_id").distinct(), "vec_id", "left_anti")
+    return cands.select("vec_id").join(joins.hamming_join(cands, demos, 4).select("vec_id").distinct(), "vec_id", "left_anti")
 
 
 @query("J10_digest_overlap", "SELECT row_id FROM manifest WHERE content_sha256 IN (SELECT sha256(text) FROM documents WHERE doc_id%2=0)")
