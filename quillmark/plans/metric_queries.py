@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import scalars as fs
-from quillmark.operators import bootstrap, controls, fusion, metrics, report, vectors
+from quillmark.operators import bootstrap, controls, extra, fusion, metrics, report, vectors
 from quillmark.plans.registry import query, rounded
 from quillmark.plans.views import CONDITIONS, branch, grid, manifest, table
 
@@ -105,12 +105,12 @@ def _(spark, sf):
 
 @query("A16_bootstrap_auc")
 def _(spark, sf):
-    return bootstrap.interval(bootstrap.auc_replicates(branch(spark, sf), ["a"], "label", "path", 50), ["arm"], "auc")
+    return bootstrap.interval(extra.auc_draws(extra.stacked(branch(spark, sf), ["a"], "label", "path"), 1000), ["arm"], "auc")
 
 
-@query("A17_A18_paired_bootstrap")
+@query("A17_paired_bootstrap")
 def _(spark, sf):
-    return bootstrap.paired_difference(bootstrap.auc_replicates(branch(spark, sf), ["a", "b", "c"], "label", "path", 50), "a")
+    return bootstrap.paired_difference(extra.auc_draws(extra.stacked(branch(spark, sf), ["a", "b", "c"], "label", "path"), 2000), "a")
 
 
 @query(
