@@ -34,7 +34,7 @@ from quillmark.llm.textkit import ASCII_LOWER, mix64, segment_hash, slices, stri
 #: Weight of a model's own word shares, and words that the word shares count for in a context.
 SHARE, PRIOR = 0.9, 2.0
 #: Bytes of text of a group (about).
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 8_000_000
 U64 = np.uint64
 #: Grams are named by 48 bits of their hash; the lowest says whether it is a word.
 KEY_BITS = 48
