@@ -260,14 +260,89 @@ def test_quality_band_rejects_planted_junk(spark):
     assert all(x.kept for x in out if x.doc_id >= 2000)
 
 
+def read_bytes(t):
+    """Lower case, 0 for digits, a blank for white space, blanks before the text."""
+    t = re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]", " ", t.translate(LOWER)))
+    return b" " * (kn_quality.ORDER - 1) + t.encode()
+
+
+def brute_kneser_ney(texts_):
+    """p(byte | up to ORDER - 1 bytes before it) of the texts, by dictionaries."""
+    top, n = collections.Counter(), kn_quality.ORDER
+    for t in texts_:
+        b = read_bytes(t)
+        top.update(b[i - n + 1 : i + 1] for i in range(n - 1, len(b)))
+    levels = {n: top}
+    for k in range(n - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    cuts = {k: kn_quality.discounts(collections.Counter(min(c, 5) for c in v.values())) for k, v in levels.items()}
+    totals, spare = {k: collections.Counter() for k in levels}, {k: collections.Counter() for k in levels}
+    for k, v in levels.items():
+        for g, c in v.items():
+            totals[k][g[:-1]] += c
+            spare[k][g[:-1]] += cuts[k][min(c, 3)]
+
+    def prob(context, byte):
+        if context is None:
+            return 1 / 256
+        k = len(context) + 1
+        lower = prob(context[1:] if context else None, byte)
+        if not totals[k][context]:
+            return lower
+        c = levels[k][context + byte]
+        return (c - cuts[k][min(c, 3)] if c else 0) / totals[k][context] + spare[k][context] / totals[k][context] * lower
+
+    def bits(t):
+        b = read_bytes(t)
+        return -sum(np.log2(prob(b[i - n + 1 : i], b[i : i + 1])) for i in range(n - 1, len(b)))
+
+    return prob, bits
+
+
+@pytest.mark.parametrize("most", [3_000_000, 400])
+def test_kneser_ney_equals_brute_force(spark, none, monkeypatch, most):
+    """Held-out bits of every text, bands and verdicts; all models in one pass and in many."""
+    monkeypatch.setattr(kn_quality, "MODEL_GRAMS", most)
+    r = random.Random(31)
+    vocab = {g: ["".join(r.choice("abcdeéß" if g == "x" else "mnopqr") for _ in range(r.randint(2, 6))) for _ in range(25)] for g in "xy"}
+    rows = [(i, " ".join(r.choice(vocab[g]) for _ in range(r.randint(20, 40))), g) for i in range(40) for g in ["xyx"[i % 3]]]
+    rows += [(50, None, "x"), (51, "", None), (52, "!! ZZ \t\n" * 12, "x"), (53, "only one of its language " * 5, "z"), (3, rows[3][1], "x"), (None, rows[4][1], "y")]
+    out = kn_quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    fold = lambda t: zlib.crc32((t or "").encode()) % kn_quality.FOLDS
+    values, seen = {}, {}
+    for _, t, g in rows:
+        g = g or "und"
+        others = [u for _, u, h in rows if (h or "und") == g and u is not None and fold(u) != fold(t)]
+        if WORD.search(t or "") and any(others):
+            values[g, t] = brute_kneser_ney(others)[1](t) / len(WORD.findall(t))
+    for x in out:
+        t = next(t for i, t, g in rows if i == x.doc_id and (g or "und") == x.lang)
+        got, want = x.log2_ppl, values.get((x.lang, t))
+        assert (got is None) == (want is None) and (got is None or abs(got - want) < 1e-5)
+        if not x.base_failed and got is not None:
+            seen.setdefault(x.lang, {})[t] = (got, np.sqrt(min(x.n_words, kn_quality.WIDEST)))
+
+    def quantiles(v, shares):
+        bins = sorted(int(np.floor(x * kn_quality.STEPS)) for x in v)
+        return [next(x for k, x in enumerate(bins, 1) if k >= len(bins) * f) / kn_quality.STEPS for f in shares]
+
+    for x in out:
+        if x.lang not in seen or not x.n_words:
+            assert x.low is None and x.kept == (not x.base_failed)
+            continue
+        own = seen[x.lang].values()
+        middle = quantiles([v for v, _ in own], [0.5])[0]
+        q = quantiles([(v - middle) * w for v, w in own], [0.25, 0.5, 0.75])
+        spread, w = max(q[2] - q[0], 1 / kn_quality.STEPS), np.sqrt(min(x.n_words, kn_quality.WIDEST))
+        assert abs(x.low - middle - (q[1] - 3 * spread) / w) < 1e-9 and abs(x.high - middle - (q[1] + 3 * spread) / w) < 1e-9
+        assert x.kept == (not x.base_failed and (x.log2_ppl is None or x.low <= x.log2_ppl <= x.high))
+
+
 def test_kneser_ney_sums_to_one():
-    r = np.random.default_rng(1)
-    keys, counts = np.unique(r.zipf(1.5, 5000) % (1 << 20), return_counts=True)
-    m = kn_quality.Model(keys, counts)
-    assert np.isfinite(m.log2).all() and (m.log2 <= 0).all()
-    ctx = keys >> 5
-    for c in np.unique(ctx)[:50]:
-        assert np.exp2(m.log2[ctx == c]).sum() <= 1 + 1e-9
+    prob, _ = brute_kneser_ney(["abracadabra", "the cat sat", "abba"])
+    for context in (b"abra", b"    ", b"zzzz", b"cat "):
+        assert abs(sum(prob(context, bytes([x])) for x in range(256)) - 1) < 1e-9
 
 
 def test_language_identification(spark, none):
