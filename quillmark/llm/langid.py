@@ -220,6 +220,9 @@ def predict(spark: SparkSession, docs: DataFrame, trees: Trees | None, keep: tup
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     shared = spark.sparkContext.broadcast(trees)
     kept, n_kept = list(keep), len(keep)
+    own = [] if text in kept else [F.col(text).alias("__text")]  # a text that is kept travels once
+    at_text = kept.index(text) if text in kept else n_kept
+    at_lettered = n_kept + len(own)
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[k] for k in kept] + T._parse_datatype_string(PREDICTED).fields)
@@ -227,8 +230,8 @@ def predict(spark: SparkSession, docs: DataFrame, trees: Trees | None, keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Trees | None = shared.value
         for batch in batches:
-            data, offsets = string_buffers(batch.column(n_kept))
-            has = np.asarray(batch.column(n_kept + 1))
+            data, offsets = string_buffers(batch.column(at_text))
+            has = np.asarray(batch.column(at_lettered))
             for a, b in slices(offsets, 1_000_000):
                 n = b - a
                 pred, score, rate = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n)
@@ -246,7 +249,7 @@ def predict(spark: SparkSession, docs: DataFrame, trees: Trees | None, keep: tup
                     names=[*kept, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return docs.select(*kept, F.col(text).alias("__text"), lettered.alias("__lettered")).mapInArrow(run, schema)
+    return docs.select(*kept, *own, lettered.alias("__lettered")).mapInArrow(run, schema)
 
 
 def fold_of(key: str = "doc_id") -> F.Column:
