@@ -34,7 +34,7 @@ def _restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 def _limits(predicted: DataFrame) -> dict[str, float]:
     """Most bits a byte that each language's labelled texts allow; from counts by bins,
     at most 9 * _BINS rows a language."""
-    bins = predicted.filter("lang = __lang_pred").groupBy("lang", F.floor(F.col("__bits") * _BINS).alias("bin")).count()
+    bins = predicted.filter("lang = lang_pred").groupBy("lang", F.floor(F.col("bits_per_byte") * _BINS).alias("bin")).count()
     out = {}
     rows = sorted((r[0], r[1], r[2]) for r in bins.collect())
     for lang in {r[0] for r in rows}:
@@ -59,15 +59,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     inner, names = _renamed(docs, "doc_id", "text", "lang")
     trees = langid.fit(spark, inner.filter(langid.fold_of() != 0))
-    found = langid.predict(spark, inner, trees, keep=tuple(inner.columns))
-    found = found.withColumnsRenamed({"lang_pred": "__lang_pred", "bits_per_byte": "__bits"}).drop("score")
-    found = io.staged(found.filter("__lang_pred <> 'und'"), "pipeline-predicted")
-    limits = _limits(found)
+    limits = _limits(langid.predict(spark, inner.filter("lang is not null"), trees, keep=("lang",)))
     if not limits:
-        return _restored(found.limit(0), names)
-    most = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]), F.col("__lang_pred"))
-    kept = found.filter(F.coalesce(F.col("__bits") <= most, F.lit(True)))
-    return _restored(kept.withColumn("lang", F.coalesce("lang", "__lang_pred")), names)
+        return _restored(inner.limit(0), names)
+    found = langid.predict(spark, inner, trees, keep=tuple(inner.columns))
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]), F.col("lang_pred"))
+    kept = found.filter((F.col("lang_pred") != "und") & F.coalesce(F.col("bits_per_byte") <= most, F.lit(True)))
+    return _restored(kept.withColumn("lang", F.coalesce("lang", "lang_pred")), names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
