@@ -66,9 +66,9 @@ class Classifier:
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) from quality and toxic; rows with a null are left out and a
-    doc_id that repeats takes its largest values."""
-    known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
+    """(doc_id, domain) from quality and toxic; rows with a null or a value other than 0
+    and 1 are left out and a doc_id that repeats takes its largest values."""
+    known = labels.filter("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
     one = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return one.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
 

@@ -632,6 +632,116 @@ def test_mixing_converges_on_overlapping_posteriors(spark):
     assert residual >= mixing.TOLERANCE
 
 
+def spark_hash(*values):
+    """xxhash64 of a row as Spark chains it, signed."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def test_mixing_equals_brute_force(spark):
+    """Posteriors, totals by domain and copies; labels outside 0 and 1, repeats, clashing names."""
+    r = random.Random(15)
+    kinds = {(1, 0): ["good", "fine", "solid", "plain"], (0, 0): ["bad", "junk", "plain"], (1, 1): ["rude", "fine", "good"], (0, 1): ["rude", "junk", "bad"]}
+    names = list(kinds)
+    rows = [(i, " ".join(r.choice(kinds[names[i % 4]]) for _ in range(r.randint(3, 50))), "x") for i in range(400)]
+    rows += [(500, None, "x"), (501, "", "x"), (7, rows[7][1], "x"), (502, "Plain\tWORDS \n fine", None), (None, "good fine", "x")]
+    labels = [(i, *names[i % 4]) for i in range(0, 300, 3)] + [(3, 2, 0), (5, None, 1), (502, 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rate string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out, domains = mixing.mix(spark, df, lab)
+    assert domains == ["q0t0", "q0t1", "q1t0", "q1t1"]
+    words = lambda t: [w for w in re.split(r"[\x09-\x0D ]+", (t or "").lower()) if w]
+    bucket = lambda w: spark_hash(w) % mixing.BUCKETS
+    best = {}
+    for i, q, t in labels:
+        if q in (0, 1) and t in (0, 1):
+            old = best.get(i, (0, 0))
+            best[i] = max(q, old[0]), max(t, old[1])
+    table, prior = np.full((4, mixing.BUCKETS), 0.5), np.zeros(4)
+    for i, t, _ in rows:
+        if i in best:
+            k = domains.index("q%dt%d" % best[i])
+            prior[k] += 1
+            for w in words(t):
+                table[k, bucket(w)] += 1
+    weight = np.log(table) - np.log(table.sum(axis=1, keepdims=True))
+    total, tokens = np.zeros(4), 0
+    for x in out.collect():
+        w = words(x.text)
+        z = np.log(prior) + sum((weight[:, bucket(v)] for v in w), np.zeros(4)) / np.sqrt(max(len(w), 1))
+        p = np.exp(z - z.max())
+        assert x[mixing.TOKENS] == len(w) and np.allclose(x[mixing.POST], p / p.sum(), atol=1e-4) and x.rate >= 0
+        total += x.rate * len(w) * np.array(x[mixing.POST])
+        tokens += len(w)
+    want = np.array([mixing.TARGETS[d] for d in domains])
+    assert np.abs(total / tokens / want - 1).max() < 2 * mixing.TOLERANCE
+    copies = collections.Counter(x.doc_id for x in mixing.realised(out).collect())
+    for x in out.collect():
+        draw = (0.0 if x.doc_id is None else spark_hash(x.doc_id, "copies") % (1 << 30) / (1 << 30))
+        if x.doc_id is not None and abs(x.rate + draw - round(x.rate + draw)) > 1e-9:
+            assert copies[x.doc_id] == math.floor(x.rate + draw) * (2 if x.doc_id == 7 else 1)
+
+
+def stage(name):
+    import corpus_pipeline as c
+
+    return dict(c.STAGES)[name]
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, bits_per_byte double, lang_pred string, n_removed long, removed_bytes long, rate double, component_id long, behind long, repeats boolean, held_out boolean, __text string, node long"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "ngram_jaccard_join", "mixing"])
+def test_stages_on_odd_rows(spark, folder, name):
+    """Clashing columns, null ids, repeated rows, null and empty texts; then no rows at all."""
+    r = random.Random(2)
+    word = lambda g: "".join(r.choice("abcde" if g == "en" else "vwxyz") for _ in range(4))
+    rows = [(i, " ".join(word(g) for _ in range(30)) + f"\nline {i}\nsecond {i}", g) for i in range(60) for g in [["en", "de"][i % 2]]]
+    rows += [rows[5], rows[5], (None, rows[6][1], "en"), (None, rows[6][1], "en"), (70, None, "en"), (71, "", None), (72, rows[8][1], None), (9, rows[11][1], "en")]
+    rows += [(80, " ".join("".join(r.choice("аеиоуклмн") for _ in range(5)) for _ in range(40)), None)]
+    full = [(i, t, g, "s", len(t or ""), 0.1, 0.2, "p", 3, 4, 0.5, 6, 7, True, False, "t", 9) for i, t, g in rows]
+    df = spark.createDataFrame(full, EXTRA).repartition(4)
+    out = stage(name)(spark, df, folder)
+    assert out.columns == df.columns and out.schema["n_chars"] == df.schema["n_chars"]
+    got = out.collect()
+    assert all(x.score == 0.1 and x.n_removed == 3 and x.rate == 0.5 and x.behind == 7 and x.node == 9 for x in got)
+    ids = collections.Counter(x.doc_id for x in got)
+    if name == "language_id":
+        assert ids == collections.Counter(i for i, t, _ in rows if t and i != 80)
+        assert next(x.lang for x in got if x.doc_id == 72) == "en"
+    elif name == "line_dedup":
+        assert ids[None] == 2 and ids[70] == 1 and ids[71] == 1 and ids[5] == 3 and ids[72] == 0
+    elif name == "ngram_jaccard_join":
+        # 72 copies 8; under 9 stands a copy of 11 as well, so both texts of 9 stay and 11 goes
+        assert ids == collections.Counter([None, None, 70, 71, 80, 9, *[i for i in range(60) if i != 11]])
+    else:
+        assert set(ids) <= {i for i, _, _ in rows}
+    assert stage(name)(spark, df.limit(0), folder).count() == 0
+
+
+def test_pipeline_rejects_other_languages_and_gibberish(spark, folder):
+    r = random.Random(8)
+    vocab = {"en": ["the", "and", "with", "thing", "house", "water", "under"], "de": ["und", "der", "nicht", "schön", "haus", "wasser", "unter"]}
+    rows = [(i, " ".join(r.choice(vocab[g]) for _ in range(r.randint(8, 60))), g) for i in range(300) for g in [["en", "de"][i % 2]]]
+    odd = ["".join(r.choice("qxzjkvwpybg") for _ in range(6)) for _ in range(200)]
+    rows += [(1000 + k, " ".join(r.choice(odd) for _ in range(40)), None) for k in range(10)]
+    rows += [(2000 + k, " ".join("".join(r.choice("абвгд") for _ in range(5)) for _ in range(30)), None) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in stage("language_id")(spark, df, folder).collect()}
+    assert kept == set(range(300))
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline as c
 
