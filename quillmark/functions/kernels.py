@@ -45,8 +45,16 @@ def blur(img: np.ndarray, sigma: float) -> np.ndarray:
     return _bytes(_along(_along(img.astype(np.float64), taps, 0), taps, 1))
 
 
-def motion_blur(img: np.ndarray, length: int) -> np.ndarray:
-    return _bytes(_along(img.astype(np.float64), np.full(length | 1, 1.0 / (length | 1)), 1))
+def motion_blur(img: np.ndarray, length: int, angle: float = 0.0) -> np.ndarray:
+    """Mean along a line of ``length`` pixels at ``angle`` degrees, edges mirrored."""
+    n = max(3, int(length))
+    half, turn = (n - 1) / 2.0, np.deg2rad(angle)
+    along = np.linspace(-half, half, 4 * n)
+    dots = {(round(y), round(x)) for y, x in zip(along * np.sin(turn), along * np.cos(turn), strict=True)}
+    reach = max(max(abs(y), abs(x)) for y, x in dots)
+    wide = np.pad(img.astype(np.float64), ((reach, reach), (reach, reach), (0, 0))[: img.ndim], mode="symmetric")
+    h, w = img.shape[:2]
+    return _bytes(sum(wide[reach + y : reach + y + h, reach + x : reach + x + w] for y, x in dots) / len(dots))
 
 
 def noise(img: np.ndarray, sigma: float, rng: np.random.Generator) -> np.ndarray:
@@ -88,8 +96,13 @@ def channel_shift(img: np.ndarray, shift: tuple[int, int, int]) -> np.ndarray:
     return _bytes(img.astype(np.int64) + np.array(shift))
 
 
-def tone_curve(img: np.ndarray, gamma: float) -> np.ndarray:
-    return _bytes(255 * (np.arange(256) / 255.0) ** gamma)[img]
+def tone_curve(img: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Tones along a cubic Bezier curve from 0 to 1 with control points (0.25, low) and
+    (0.75, high), which is the identity for 0.25 and 0.75."""
+    t = np.linspace(0.0, 1.0, 512)
+    weights = 3 * t * (1 - t) ** 2, 3 * t**2 * (1 - t), t**3
+    at, value = (weights[0] * x + weights[1] * y + weights[2] for x, y in ((0.25, 0.75), (low, high)))
+    return _bytes(255 * np.interp(np.arange(256) / 255.0, at, value))[img]
 
 
 def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -150,11 +163,13 @@ def laplacian_variance(img: np.ndarray) -> float:
 
 
 def noise_floor(img: np.ndarray) -> float:
-    """Median absolute deviation of the residual of a 3 x 3 mean."""
+    """Deviation of the residual of a Gaussian of sigma 1, as 1.4826 times its median
+    absolute deviation."""
     g = grey(img)
-    third = np.full(3, 1 / 3)
-    r = g - _along(_along(g, third, 0), third, 1)
-    return float(np.median(np.abs(r - np.median(r))))
+    taps = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+    taps /= taps.sum()
+    r = g - _along(_along(g, taps, 0), taps, 1)
+    return float(1.4826 * np.median(np.abs(r - np.median(r))))
 
 
 def neighbour_residuals(img: np.ndarray, stride: int = 2) -> np.ndarray:

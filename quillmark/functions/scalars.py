@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Short sides that image pipelines produce on purpose.
 CANONICAL_SIDES = (224, 256, 299, 320, 336, 384, 392, 448, 512, 518, 600, 640, 768, 800, 1024, 2048)
 #: Openers that captioning models put before a description.
-CAPTION_OPENERS = ("The image shows ", "The image depicts ", "This image shows ", "This is a picture of ", "In this image, ")
+CAPTION_OPENERS = ("The image shows ", "The image is ", "The image depicts ", "This image shows ", "In this image ")
 
 
 def segments(path: Column) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.hashing import SEED, order_key
 from quillmark.operators.metrics import leak_auc, roc_auc
+from quillmark.operators.vectors import moments, projected
 
 
 def _logistic(features: list[str], label: str, n: int) -> Pipeline:
@@ -59,20 +60,26 @@ def resolution_leak(fit: DataFrame, rows: DataFrame, features: list[str], y: str
     return roc_auc(_probability(model.transform(rows), "p"), [], y, "p", "auc")
 
 
-def remove_direction(df: DataFrame, vector: str, target: str, rounds: int, ridge: float = 1e-2) -> DataFrame:
-    """Project out, ``rounds`` times, the ridge direction that predicts a confound."""
-    from pyspark.ml.functions import array_to_vector
+def remove_direction(df: DataFrame, vector: str, target: str, rounds: int, dim: int, ridge: float = 1e-2) -> DataFrame:
+    """Project out, ``rounds`` times, the ridge direction that predicts a confound of 0 and 1.
 
+    All directions follow from one pass of moments, since a projection acts on moments as
+    it does on rows; the rows are then projected once.
+    """
+    groups, n, sums, cross = moments(df, target, vector, dim)
+    mean = sums.sum(axis=0) / n.sum()
+    cov = cross / n.sum() - np.outer(mean, mean)
+    share = np.array([float(g) for g in groups])
+    with_y = (share[:, None] * sums).sum(axis=0) / n.sum() - mean * (share @ n) / n.sum()
+    keep, axes = np.eye(dim), []
     for _ in range(rounds):
-        fitted = LinearRegression(featuresCol="__v", labelCol=target, regParam=ridge).fit(df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
-        w = [float(x) for x in fitted.coefficients]
-        norm = sum(x * x for x in w)
-        if norm < 1e-18:
+        own = keep @ cov @ keep
+        w = keep @ np.linalg.solve(own + ridge * np.trace(cov) / dim * np.eye(dim), keep @ with_y)
+        if w @ w < 1e-18:
             break
-        axis = F.array(*[F.lit(x / norm**0.5) for x in w])
-        along = F.aggregate(F.zip_with(vector, axis, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
-        df = df.withColumn("__along", along).withColumn(vector, F.zip_with(vector, axis, lambda a, b: a.cast("double") - F.col("__along") * b)).drop("__along")
-    return df
+        axes.append(w / np.sqrt(w @ w))
+        keep = keep - np.outer(axes[-1], axes[-1])
+    return projected(df, vector, np.array(axes)) if axes else df
 
 
 def confound_gate(auc: DataFrame, reference: float, limit: float) -> DataFrame:

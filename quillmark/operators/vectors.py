@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(vector: Column, weights: list[float]) -> Column:
@@ -18,33 +20,96 @@ def component_stats(df: DataFrame, by: str, vector: str) -> DataFrame:
     return long.groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("sd"))
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an array column as doubles; a row of another length is an error."""
+    if column.null_count or (len(column) and set(np.diff(column.offsets.to_numpy()).tolist()) != {dim}):
+        raise ValueError(f"every vector must have {dim} components")
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def moments(df: DataFrame, by: str, vector: str, dim: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, rows a group, sums a group, X'X over all rows).
+
+    A task adds up products of Arrow batches and gives dim + 1 rows a group; the driver
+    gathers dim numbers a group and one dim * dim matrix.
+    """
+
+    def run(batches):
+        sums: dict = {}
+        cross = np.zeros((dim, dim))
+        for batch in batches:
+            x, names = _matrix(batch.column(1), dim), batch.column(0).to_pylist()
+            cross += x.T @ x
+            for name in set(names):
+                own = np.array([n == name for n in names])
+                old = sums.get(name, (0, np.zeros(dim)))
+                sums[name] = old[0] + int(own.sum()), old[1] + x[own].sum(axis=0)
+        names = list(sums)
+        if names:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names, *[None] * dim], type=kind), pa.array([-1] * len(names) + list(range(dim)), pa.int32()), pa.array([sums[n][0] for n in names] + [0] * dim, pa.int64()), pa.array([*(sums[n][1].tolist() for n in names), *cross.tolist()], pa.list_(pa.float64()))],
+                names=["grp", "i", "n", "v"],
+            )
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(df.schema[by].dataType)
+    parts = df.select(by, vector).mapInArrow(run, f"grp {df.schema[by].dataType.simpleString()}, i int, n long, v array<double>")
+    added = parts.select("grp", "i", "n", F.posexplode("v").alias("j", "v")).groupBy("grp", "i", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    groups = sorted({r["grp"] for r in added if r["i"] < 0})
+    n, sums, cross = np.zeros(len(groups)), np.zeros((len(groups), dim)), np.zeros((dim, dim))
+    for r in added:
+        if r["i"] < 0:
+            k = groups.index(r["grp"])
+            n[k], sums[k, r["j"]] = r["n"], r["v"]
+        else:
+            cross[r["i"], r["j"]] = r["v"]
+    return groups, n, sums, cross
+
+
 def gaussian_fit(df: DataFrame, by: str, vector: str, dim: int, ridge: float = 1e-3) -> tuple[list, np.ndarray, np.ndarray]:
     """(groups, means, whitening): per-group means and the inverse Cholesky factor of
-    the pooled within covariance. Gathers dim * dim numbers a group."""
-    x = F.col(vector)
-    sums = [F.sum(x[i].cast("double")).alias(f"s{i}") for i in range(dim)]
-    first = df.groupBy(by).agg(F.count("*").alias("n"), *sums).orderBy(by).collect()
-    pairs = df.select(F.posexplode(vector).alias("i", "a"), vector).select("i", "a", F.posexplode(vector).alias("j", "b")).filter("i <= j")
-    cross = np.zeros((dim, dim))
-    for i, j, v in pairs.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b"))).collect():
-        cross[i, j] = cross[j, i] = v
-    n = np.array([r["n"] for r in first], dtype=float)
-    means = np.array([[r[f"s{i}"] for i in range(dim)] for r in first]) / n[:, None]
+    the pooled within covariance."""
+    groups, n, sums, cross = moments(df, by, vector, dim)
+    means = sums / n[:, None]
     within = (cross - (means * n[:, None]).T @ means) / n.sum() + ridge * np.eye(dim)
-    return [r[by] for r in first], means, np.linalg.inv(np.linalg.cholesky(within))
-
-
-def mahalanobis(vector: Column, means: np.ndarray, white: np.ndarray) -> Column:
-    """Least squared distance to a group mean, as a column expression."""
-    axes = [dot(vector, row) for row in white]
-    centers = means @ white.T
-    axis = F.array(*axes)
-
-    def one(c: np.ndarray) -> Column:
-        w = F.array(*[F.lit(float(x)) for x in c])
-        return F.aggregate(F.zip_with(axis, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-
-    return F.least(*[one(c) for c in centers]) if len(centers) > 1 else one(centers[0])
+    return groups, means, np.linalg.inv(np.linalg.cholesky(within))
+
+
+def mahalanobis(df: DataFrame, vector: str, means: np.ndarray, white: np.ndarray, keep: list[str], name: str = "distance") -> DataFrame:
+    """``keep`` and the least squared distance to a group mean, by matrix products on batches."""
+    shared = df.sparkSession.sparkContext.broadcast((white, means @ white.T))
+    dim = means.shape[1]
+
+    def run(batches):
+        w, centers = shared.value
+        for batch in batches:
+            axis = _matrix(batch.column(len(keep)), dim) @ w.T
+            best = np.full(len(axis), np.inf)
+            for c in centers:
+                best = np.minimum(best, np.square(axis - c).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(best)], names=[*keep, name])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return df.select(*keep, vector).mapInArrow(run, schema)
+
+
+def projected(df: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
+    """``df`` with the components along orthonormal ``axes`` taken out of a vector column."""
+    shared = df.sparkSession.sparkContext.broadcast(axes)
+    names, dim = df.columns, axes.shape[1]
+    at = names.index(vector)
+
+    def run(batches):
+        a = shared.value
+        for batch in batches:
+            x = _matrix(batch.column(at), dim)
+            x = x - (x @ a.T) @ a
+            out = pa.ListArray.from_arrays(np.arange(0, x.size + 1, dim, dtype=np.int32), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([out if k == at else batch.column(k) for k in range(len(names))], names=names)
+
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == vector else f for f in df.schema.fields])
+    return df.mapInArrow(run, schema)
 
 
 def non_finite(vector: Column) -> Column:

@@ -187,4 +187,4 @@ def _(spark, sf):
     from quillmark.operators.models import probe_auc, remove_direction
 
     e = table(spark, sf, "embeddings").withColumn("c", (F.col("label") == 3).cast("int"))
-    return probe_auc(remove_direction(e, "embedding", "c", 2), "embedding", "c", 64)
+    return probe_auc(remove_direction(e, "embedding", "c", 2, 64), "embedding", "c", 64)

@@ -374,7 +374,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
     _, means, white = vectors.gaussian_fit(e, "label", "embedding", 64)
-    return e.select("vec_id", vectors.mahalanobis(F.col("embedding"), means, white).alias("distance"))
+    return vectors.mahalanobis(e, "embedding", means, white, ["vec_id"])
 
 
 @query("M24_kmeans")

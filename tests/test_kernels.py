@@ -15,7 +15,7 @@ def image(seed, h=48, w=64):
 
 def test_shapes_and_bounds():
     img = image(1)
-    params = {"blur": {"sigma": 1.2}, "motion_blur": {"length": 5}, "noise": {"sigma": 9.0}, "impulse": {"share": 0.1}, "brightness": {"factor": 1.4}, "contrast": {"factor": 0.5}, "saturation": {"factor": 0.0}, "jitter": {"b": 1.1, "c": 0.9, "s": 1.2}, "quantize": {"bits": 3}, "tone_curve": {"gamma": 0.7}, "pixelate": {"block": 8}, "resize_roundtrip": {"scale": 0.5}, "center_crop": {"share": 0.6}, "dihedral": {"k": 4}}
+    params = {"blur": {"sigma": 1.2}, "motion_blur": {"length": 5, "angle": 30.0}, "noise": {"sigma": 9.0}, "impulse": {"share": 0.1}, "brightness": {"factor": 1.4}, "contrast": {"factor": 0.5}, "saturation": {"factor": 0.0}, "jitter": {"b": 1.1, "c": 0.9, "s": 1.2}, "quantize": {"bits": 3}, "tone_curve": {"low": 0.1, "high": 0.9}, "pixelate": {"block": 8}, "resize_roundtrip": {"scale": 0.5}, "center_crop": {"share": 0.6}, "dihedral": {"k": 4}}
     assert set(params) == set(k.OPS)
     for name, (f, random) in k.OPS.items():
         out = f(img, **params[name], rng=np.random.default_rng(3)) if random else f(img, **params[name])
@@ -30,6 +30,12 @@ def test_known_answers():
     assert len({k.dihedral(img[:48, :48], i).tobytes() for i in range(8)}) == 8
     assert k.laplacian_variance(k.blur(img, 2)) < k.laplacian_variance(img)
     assert (k.resize(img, *img.shape[:2]) == img).all() and set(np.unique(k.quantize(img, 1))) <= {0, 128}
+    assert (k.tone_curve(img, 0.25, 0.75) == img).all()
+    dot = np.zeros((21, 21, 3), np.uint8)
+    dot[10, 10] = 250
+    assert (k.motion_blur(dot, 5, 0.0)[10, 8:13] == 50).all() and (k.motion_blur(dot, 5, 90.0)[8:13, 10] == 50).all()
+    noisy = np.clip(128 + 10 * np.random.default_rng(0).normal(size=(200, 200, 1)).repeat(3, axis=2), 0, 255).astype(np.uint8)
+    assert 7 < k.noise_floor(noisy) < 11
     assert np.ptp(k.saturation(img, 0.0).astype(int), axis=2).max() == 0
 
 

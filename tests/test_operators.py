@@ -157,7 +157,97 @@ def test_mahalanobis(spark):
     assert groups == [0, 1] and np.allclose(means, [x[:60].mean(0), x[60:].mean(0)])
     within = sum((x[k : k + 60] - x[k : k + 60].mean(0)).T @ (x[k : k + 60] - x[k : k + 60].mean(0)) for k in (0, 60)) / 120
     want = min((x[0] - m) @ np.linalg.inv(within) @ (x[0] - m) for m in means)
-    assert df.select(vectors.mahalanobis(F.col("v"), means, white).alias("d")).first().d == pytest.approx(want)
+    got = vectors.mahalanobis(df.withColumn("i", F.monotonically_increasing_id()), "v", means, white, ["i"])
+    assert got.orderBy("i").first().distance == pytest.approx(want)
+
+
+def test_confound_directions_leave_nothing(spark):
+    import numpy as np
+
+    from quillmark.operators.models import remove_direction
+
+    g = np.random.default_rng(4)
+    y = g.integers(0, 2, 300)
+    x = g.normal(size=(300, 4)) + y[:, None] * np.array([2.0, 0.0, 1.0, 0.0])
+    df = spark.createDataFrame([(int(a), [float(v) for v in row]) for a, row in zip(y, x, strict=True)], "c int, v array<double>")
+    out = np.array([r.v for r in remove_direction(df, "v", "c", 2, 4).collect()])
+    assert np.linalg.matrix_rank(out, tol=1e-8) == 2
+    gap = lambda z: np.abs(z[y == 1].mean(0) - z[y == 0].mean(0)).max()
+    assert gap(out) < 0.1 * gap(x)
+
+
+def test_running_sums_over_blocks(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), round(r.random(), r.choice([1, 4])), r.randint(0, 3)) for _ in range(3000)]
+    cells = spark.createDataFrame(rows, "g string, s double, n int").groupBy("g", "s").agg(F.sum("n").alias("n"))
+    for x in metrics.running(cells, ["g"], "s", ["n"]).collect():
+        own = [c for g, s, c in rows if g == x.g and s < x.s]
+        assert x.n_below == sum(own) and x.n_all == sum(c for g, _, c in rows if g == x.g)
+
+
+def test_bootstrap_draws_equal_brute_force(spark):
+    import numpy as np
+
+    from quillmark.operators import extra
+
+    r = random.Random(6)
+    rows = [(f"p{i}", r.randrange(2), r.randrange(12) / 4, r.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, label int, a double, b double")
+    got = {(x.arm, x.replicate): x.auc for x in extra.auc_draws(extra.stacked(df, ["a", "b"], "label", "path"), 20).collect()}
+    keys = [x.k for x in df.select(F.xxhash64("path").alias("k"), "path").orderBy(F.expr("cast(substr(path, 2) as int)")).collect()]
+    w = extra._weights(np.array(keys), 20)
+    for arm in (2, 3):
+        s, y = np.array([x[arm] for x in rows]), np.array([x[1] for x in rows])
+        for rep in range(20):
+            p, n = w[:, rep] * (y == 1), w[:, rep] * (y == 0)
+            won = sum(pi * (n[s < si].sum() + 0.5 * n[s == si].sum()) for pi, si in zip(p, s, strict=True) if pi)
+            assert got["ab"[arm - 2], rep + 1] == pytest.approx(won / p.sum() / n.sum())
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+
+
+def test_extra_guards_and_labels(spark):
+    from quillmark.operators import extra
+
+    assert (extra.fpr_label(0.005), extra.tpr_column(0.01)) == ("0.5%", "tpr_at_1pct")
+    with pytest.raises(joins.Refused):
+        extra.check_views({"v": [("jpeg", 70.0)]}, {"jpeg": (65.0, 75.0)})
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("", 0)], "generator string, label int")
+    assert extra.without_generators(rows, ["a"]).count() == 2
+    for names in (["zz"], ["a", "b"]):
+        with pytest.raises(joins.Refused):
+            extra.without_generators(rows, names)
+    a = spark.createDataFrame([(1, 0), (2, 1)], "row_id int, label int")
+    with pytest.raises(joins.Refused):
+        extra.positional(a, a.withColumn("label", F.lit(1)).withColumn("s", F.lit(0.5)), "row_id", ["label"])
+    with pytest.raises(joins.Refused):
+        extra.positional(a, a.limit(1).withColumn("s", F.lit(0.5)), "row_id", ["label"])
+    names = spark.createDataFrame([("Sd-XL.csv",), ("nope",)], "name string")
+    aliases = spark.createDataFrame([("sd_xl", ["sdxl"])], "subset string, aliases array<string>")
+    with pytest.raises(joins.Refused):
+        extra.resolve_aliases(names, aliases)
+    assert extra.resolve_aliases(names.limit(1), aliases).first().subset == "sd_xl"
+    keys = spark.createDataFrame([("1024",), ("x",), ("128",), ("200",)], "k string")
+    assert [x.k for x in keys.orderBy(*extra.numeric_order(F.col("k"))).collect()] == ["128", "200", "1024", "x"]
+    assert extra.identity_column(a.withColumn("path", F.lit("p"))) == "row_id" and extra.identity_column(a.select(F.lit("p").alias("path"))) is None
+
+
+def test_banks(spark, tmp_path):
+    from quillmark.sources import datasets as ds
+
+    rows = spark.range(10).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("v"))
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    ds.write_bank(rows.filter("row_id < 4"), one, {"dim": 1})
+    ds.write_bank(rows, one, {"dim": 1})
+    assert sorted(r.row_id for r in ds.read_bank(spark, one).collect()) == list(range(10))
+    assert sum(ds.read_bank(spark, one, s).count() for s in range(16)) == 10
+    with pytest.raises(joins.Refused):
+        ds.write_bank(rows, one, {"dim": 2})
+    ds.write_bank(rows.filter("row_id > 7"), two, {"dim": 1})
+    with pytest.raises(joins.Refused):
+        ds.merge_banks(spark, [one, two])
+    assert ds.comparable([{"a": 1, "b": 2}, {"a": 1, "b": 3}], ["a", "b"]) == ["b"]
+    with pytest.raises(joins.Refused):
+        ds.fused_identity([{"manifest": 1}, {"manifest": 2}], [1.0, 1.0])
 
 
 def test_manifest_problems(spark):
