@@ -39,6 +39,8 @@ UPPER_IQR, LOWER_IQR = 3.0, 3.0
 STEPS = 1024
 #: Words from which on a band doesn't narrow any more.
 WIDEST = 200
+#: Parts that the texts of a language are dealt to for a join by language.
+SALTS = 64
 WINDOW = 8
 U64 = np.uint64
 
@@ -376,6 +378,13 @@ def _quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
     return upto.groupBy("lang").agg(F.array(*[F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / F.lit(float(STEPS)) for q in shares]).alias("q"))
 
 
+def _of_language(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined to a table of one row a language, dealt to SALTS parts a language."""
+    salts = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    return salted.join(salts, ["lang", "__salt"], how).drop("__salt")
+
+
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Base rules and the perplexity band of every document (one row per row).
 
@@ -402,12 +411,12 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     passed = rows.filter("not base_failed and log2_ppl is not null").select("uid", "lang", "log2_ppl", "weight").dropDuplicates(["uid"])
     passed = io.staged(passed, "kn_passed")
     middle = _quantiles(passed.select("lang", F.col("log2_ppl").alias("v")), [0.5]).select("lang", F.col("q")[0].alias("middle"))
-    apart = passed.join(middle, "lang").select("lang", ((F.col("log2_ppl") - F.col("middle")) * F.col("weight")).alias("v"))
+    apart = _of_language(passed, middle, "inner").select("lang", ((F.col("log2_ppl") - F.col("middle")) * F.col("weight")).alias("v"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1.0 / STEPS))
     bands = _quantiles(apart, [0.25, 0.5, 0.75]).join(middle, "lang").select(
         "lang", "middle", (F.col("q")[1] - LOWER_IQR * spread).alias("__low"), (F.col("q")[1] + UPPER_IQR * spread).alias("__high")
     )
-    rows = rows.join(bands, "lang", "left").withColumns({x: F.when(F.col("n_words") > 0, F.col("middle") + F.col(f"__{x}") / F.col("weight")) for x in ("low", "high")})
+    rows = _of_language(rows, bands, "left").withColumns({x: F.when(F.col("n_words") > 0, F.col("middle") + F.col(f"__{x}") / F.col("weight")) for x in ("low", "high")})
     inside = F.coalesce(F.col("log2_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
