@@ -38,10 +38,13 @@ def crc_key(path: Column) -> Column:
 def fingerprint(df: DataFrame, row_id: str, value: str, blocks: int = 1024) -> DataFrame:
     """One digest over ``value`` in ``row_id`` order, as a tree of digests.
 
-    Rows are digested in blocks of consecutive ids, so no task gathers more than a
-    block and the driver's single row covers block digests only.
+    Rows are digested in blocks of consecutive ids, and these in blocks again until
+    ``blocks`` or fewer are left, so no task gathers more than a block.
     """
     block = df.groupBy(F.floor(F.col(row_id) / blocks).alias("b")).agg(
         F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(value).alias("v")))), lambda s: s["v"])), 256).alias("d")
     )
+    while block.count() > blocks:
+        digests = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"])
+        block = block.groupBy(F.floor(F.col("b") / blocks).alias("up")).agg(F.sha2(F.concat_ws("\n", digests), 256).alias("d")).withColumnRenamed("up", "b")
     return block.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"])), 256).alias("fingerprint"))

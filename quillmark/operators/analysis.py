@@ -91,7 +91,7 @@ def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     if n > total:
         raise Refused(f"{n} positions in {total} rows")
     keep = df.sparkSession.range(n).select(F.floor(F.col("id") * total / n).alias("__p"))
-    return df.join(F.broadcast(keep), F.col(order) == F.col("__p"), "left_semi")
+    return df.join(keep, F.col(order) == F.col("__p"), "left_semi")
 
 
 def disagreement(a: Column, b: Column) -> Column:
@@ -127,7 +127,7 @@ def balance_authentic(df: DataFrame, y: str, split: str, source: str, key: str,
     free = df.filter((F.col(y) == 0) & (F.col(split) == ""))
     sizes = free.groupBy(source).agg(F.count("*").alias("__m"))
     total = free.count()
-    rows = ranked(free, [source], key, seed, "__rn").join(F.broadcast(sizes), source)
+    rows = ranked(free, [source], key, seed, "__rn").join(sizes, source)
     place = (F.col("__rn") - 0.5) / F.col("__m")
     chosen, at = F.lit("train"), 0.0
     cuts = []

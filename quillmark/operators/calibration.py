@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.scalars import softplus
 from quillmark.operators.joins import Refused
-from quillmark.operators.metrics import tpr_at_fpr
+from quillmark.operators.metrics import quantiles, tpr_at_fpr
 
 
 def check_fit_split(df: DataFrame, split: str = "split", allowed: str = "val_internal") -> None:
@@ -47,7 +47,7 @@ def fit_policy(df: DataFrame, p: str, y: str, eqi: str, fpr: float, coverage: fl
     up = tpr_at_fpr(df, [], y, p, fpr).select(F.col("threshold").alias("flag"))
     mirrored = df.select((F.lit(1) - F.col(y)).alias(y), (F.lit(1.0) - F.col(p)).alias(p))
     down = tpr_at_fpr(mirrored, [], y, p, fpr).select((F.lit(1.0) - F.col("threshold")).alias("clear"))
-    quality = df.agg(F.percentile(eqi, 1 - coverage).alias("eqi_min"))
+    quality = quantiles(df, [], eqi, [1 - coverage]).select(F.col("q")[0].alias("eqi_min"))
     return up.crossJoin(down).crossJoin(quality)  # three single rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.metrics import leak_auc, roc_auc
+from quillmark.operators.metrics import leak_auc, quantiles, roc_auc
 
 RATIO_LIMIT, QUALITY_GAP = 1.5, 10.0
 
@@ -46,10 +46,11 @@ def stratified_auc(df: DataFrame, stratum: str, y: str, s: str, least: int) -> D
 
 
 def audit_table(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.mode("format", True).alias("format"), F.percentile("width", 0.5).alias("median_w"),
-        F.percentile("height", 0.5).alias("median_h"), F.percentile("quality", 0.5).alias("median_q"),
-    )
+    """Rows, most frequent format and medians of each group."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.mode("format", True).alias("format"))
+    for column, name in (("width", "median_w"), ("height", "median_h"), ("quality", "median_q")):
+        out = out.join(quantiles(df, by, column, [0.5]).select(*by, F.col("q")[0].alias(name)), by, "left")
+    return out
 
 
 def audit_flags(audit: DataFrame, source: str, y: str) -> DataFrame:

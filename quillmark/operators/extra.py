@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.operators.joins import Refused
-from quillmark.operators.metrics import FPR, roc_auc, tpr_at_fpr
+from quillmark.operators.metrics import FPR, quantiles, roc_auc, tpr_at_fpr
 
 #: Short names of families, in the order of recipe label vectors.
 FAMILIES = ("jpeg", "blur", "resize", "noise", "jitter", "crop")
@@ -191,7 +191,7 @@ def stacked(df: DataFrame, arms: list[str], y: str, key: str) -> DataFrame:
 def decile_auc(df: DataFrame, value: str, y: str, s: str, n_bins: int = 10) -> DataFrame:
     """(n_used, deciles, auc): mean AUC within equal-count bins of ``value``, weighted by
     their rows; bins of one class are left out."""
-    cuts = df.agg(F.percentile(value, [i / n_bins for i in range(n_bins + 1)]).alias("e")).select(F.array_distinct("e").alias("e"))
+    cuts = quantiles(df, [], value, [i / n_bins for i in range(n_bins + 1)], "e").select(F.array_distinct("e").alias("e"))
     inner = F.expr("slice(e, 2, greatest(size(e) - 2, 0))")
     binned = df.crossJoin(F.broadcast(cuts.select(inner.alias("__e")))).withColumn("decile", F.size(F.filter("__e", lambda x: x <= F.col(value))))  # one row of cuts
     each = roc_auc(binned, ["decile"], y, s).join(binned.groupBy("decile").agg(F.count("*").alias("n")), "decile").filter("auc is not null")

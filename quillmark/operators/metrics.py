@@ -54,6 +54,23 @@ def running(rows: DataFrame, by: list[str], value: str, sums: list[str], other:
     return joined.withColumns(below).drop("__block", *[f"__{c}_start" for c in sums])
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], name: str = "q") -> DataFrame:
+    """(by, name): exact quantiles with linear interpolation, as an array.
+
+    Two ranks of a quantile are looked up among running counts of distinct values; no
+    task holds the values of a group.
+    """
+    rows = running(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), by, "__v", ["__n"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__n_below") <= rank) & (rank < F.col("__n_below") + F.col("__n")), F.col("__v")))
+
+    places = [F.lit(float(p)) * (F.col("__n_all") - 1) for p in probs]
+    found = rows.groupBy(*by).agg(F.max("__n_all").alias("__n_all"), *[at(f(h)).alias(f"__{side}{i}") for i, h in enumerate(places) for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    parts = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (h - F.floor(h)) for i, h in enumerate(places)]
+    return found.select(*by, F.array(*parts).alias(name))
+
+
 def roc_auc(df: DataFrame, by: list[str], y: str = "label", s: str = "score", name: str = "auc") -> DataFrame:
     """Mann-Whitney AUC with averaged ties; null where a group has one class."""
     rows = running(_by_score(df, by, y, s), by, "s", ["n"])
@@ -109,8 +126,11 @@ def tpr_neg_quantile(df: DataFrame, by: list[str], y: str = "label", s: str = "s
 def tpr_guarded(df: DataFrame, by: list[str], y: str = "label", s: str = "score", fpr: float = FPR, least: int = 100) -> DataFrame:
     """The variant for arrays of reals and fakes: null below ``least`` reals; threshold
     at the linear quantile 1 - fpr of the reals, TPR strictly above it."""
-    reals = df.filter(F.col(y) == 0).groupBy(*by).agg(F.percentile(s, 1 - fpr).alias("threshold"), F.count("*").alias("reals"))
-    return df.filter(F.col(y) == 1).join(F.broadcast(reals), by or None, *([] if by else ["cross"])).groupBy(*by).agg(
+    negatives = df.filter(F.col(y) == 0)
+    counted, cuts = negatives.groupBy(*by).agg(F.count("*").alias("reals")), quantiles(negatives, by, s, [1 - fpr])
+    reals = (counted.join(cuts, by) if by else counted.crossJoin(cuts)).withColumn("threshold", F.col("q")[0])  # single rows without groups
+    positives = df.filter(F.col(y) == 1)
+    return (positives.join(reals, by) if by else positives.crossJoin(F.broadcast(reals))).groupBy(*by).agg(
         F.max("threshold").alias("threshold"), F.avg((F.col(s) > F.col("threshold")).cast("double")).alias("tpr"), F.max("reals").alias("reals")
     ).withColumn("tpr", F.when(F.col("reals") >= least, F.col("tpr")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.joins import Refused
+from quillmark.operators.metrics import quantiles
 
 
 def demo_registry(spark: SparkSession) -> DataFrame:
@@ -21,7 +22,7 @@ def classify(df: DataFrame, registry: DataFrame, source: str, bucket: str) -> Da
 
     A registry holds one row per source and is small by contract.
     """
-    j = df.join(F.broadcast(registry.withColumnRenamed("source", "__s")), F.col(source) == F.col("__s"), "left")
+    j = df.join(registry.withColumnRenamed("source", "__s"), F.col(source) == F.col("__s"), "left")
     real = F.array_contains("real_buckets", F.col(bucket))
     known = F.when(F.col("__s").isNull(), F.raise_error(F.concat(F.lit("unknown source "), F.col(source))).cast("int"))
     return j.withColumn("label", known.when(real, 0).otherwise(1)).withColumn("generator", F.when(real, "").otherwise(F.col(bucket))).drop("__s", "real_buckets", "excluded")
@@ -29,7 +30,7 @@ def classify(df: DataFrame, registry: DataFrame, source: str, bucket: str) -> Da
 
 def raw_subdir(df: DataFrame, registry: DataFrame) -> DataFrame:
     """The bucket that classification would map to a row's label and generator."""
-    j = df.join(F.broadcast(registry), "source")
+    j = df.join(registry, "source")
     return j.withColumn("bucket", F.when(F.col("label") == 1, F.col("generator")).otherwise(F.get("real_buckets", F.lit(0)))).drop("real_buckets", "excluded")
 
 
@@ -40,7 +41,7 @@ def derive_root(df: DataFrame, path: str) -> str:
 
 
 def tag(df: DataFrame, table: DataFrame, key: str, value: str, default: str) -> DataFrame:
-    return df.join(F.broadcast(table), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    return df.join(table, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def select_splits(df: DataFrame, names: list[str], split: str = "split") -> DataFrame:
@@ -89,5 +90,5 @@ def _in_band(name: str, lo: float, hi: float):
 
 def quantile_bins(df: DataFrame, value: str, probs: list[float], name: str) -> DataFrame:
     """Number of exact quantiles below a value: bins that never split ties."""
-    edges = df.agg(F.percentile(value, probs).alias("__e"))
+    edges = quantiles(df, [], value, probs, "__e")
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.aggregate("__e", F.lit(0), lambda a, e: a + (F.col(value) > e).cast("int"))).drop("__e")  # one row

@@ -61,7 +61,7 @@ def fp_rate_by_source(df: DataFrame, threshold: float, y: str = "label", s: str
 
 def shared_threshold_rates(df: DataFrame, q: float = 0.99, y: str = "label", s: str = "score") -> DataFrame:
     """FPR by source and TPR by generator at one quantile of the authentic scores."""
-    thr = df.filter(F.col(y) == 0).agg(F.percentile(s, q).alias("thr"))
+    thr = df.filter(F.col(y) == 0).transform(lambda x: m.quantiles(x, [], s, [q])).select(F.col("q")[0].alias("thr"))
     hit = F.avg((F.col(s) > F.col("thr")).cast("double"))
     rows = df.crossJoin(F.broadcast(thr))  # one row
     by_source = rows.filter(F.col(y) == 0).groupBy(F.col("source").alias("grp")).agg(hit.alias("rate"), F.count("*").alias("n")).withColumn("kind", F.lit("fpr"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions.hashing import SEED, drawn, order_key
+from quillmark.operators.metrics import running
 
 MIN_HELDOUT_ROWS = 200
 
@@ -81,7 +82,7 @@ def stratified(df: DataFrame, strata: list[str], total: int, key: str, seed: int
     take = water_fill(sizes, total)
     spark = df.sparkSession
     plan = spark.createDataFrame([(*k, n) for k, n in sorted(take.items())], [*strata, "__take"])
-    rows = df.join(F.broadcast(plan), strata)
+    rows = df.join(plan, strata)
     return ranked(rows, strata, key, seed, "__rn").filter("__rn <= __take").drop("__rn", "__take")
 
 
@@ -107,16 +108,12 @@ def limit_in_order(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFra
 def shards(df: DataFrame, n: int, row_id: str = "row_id") -> DataFrame:
     """Contiguous shards of near-equal size in ``row_id`` order.
 
-    Positions come from counts of id blocks and positions within them, so that no
-    window spans all rows.
+    Positions are running counts by blocks of ids, so that no window spans all rows.
     """
-    block = F.floor(F.col(row_id) / 65536)
-    sizes = df.groupBy(block.alias("__b")).count()
-    before = sizes.select("__b", (F.sum("count").over(W.orderBy("__b")) - F.col("count")).alias("__before"), F.sum("count").over(W.partitionBy()).alias("__all"))
-    rows = df.withColumn("__b", block).withColumn("__rn", F.row_number().over(W.partitionBy("__b").orderBy(row_id))).join(F.broadcast(before), "__b")
-    pos, base, extra = F.col("__before") + F.col("__rn") - 1, F.floor(F.col("__all") / n), F.pmod(F.col("__all"), F.lit(n))
+    rows = running(df.withColumn("__one", F.lit(1)), [], row_id, ["__one"])
+    pos, base, extra = F.col("__one_below"), F.floor(F.col("__one_all") / n), F.pmod(F.col("__one_all"), F.lit(n))
     shard = F.when(pos < extra * (base + 1), F.floor(pos / (base + 1))).otherwise(extra + F.floor((pos - extra * (base + 1)) / F.greatest(base, F.lit(1))))
-    return rows.withColumn("shard", shard.cast("int")).drop("__b", "__rn", "__before", "__all")
+    return rows.withColumn("shard", shard.cast("int")).drop("__one", "__one_below", "__one_all")
 
 
 def apportion(total: int, shares: dict[str, float]) -> dict[str, int]:
@@ -148,4 +145,4 @@ def balanced_weights(df: DataFrame, y: str, family: str) -> DataFrame:
     per = cells.groupBy(y).agg(F.count("*").alias("__f"))
     k = F.lit(1.0) / df.select(y).distinct().count()
     plan = cells.join(per, y).select(y, family, (k / F.col("__f") / F.col("__m")).alias("weight"))
-    return df.join(F.broadcast(plan), [y, family])
+    return df.join(plan, [y, family])

@@ -138,7 +138,7 @@ def _(spark, sf):
 @query("F02_F03_excluded_sources", _REGISTRY + " SELECT doc_id FROM documents JOIN reg USING (source) WHERE NOT excluded")
 def _(spark, sf):
     out = reg.demo_registry(spark).filter("excluded").select("source")
-    return table(spark, sf, "documents").join(F.broadcast(out), "source", "left_anti").select("doc_id")
+    return table(spark, sf, "documents").join(out, "source", "left_anti").select("doc_id")
 
 
 @query("F04_prefix_exclusion", "SELECT row_id FROM manifest WHERE NOT (path LIKE '/data/src1/%' OR path LIKE '/data/src2/en/%')")

@@ -327,5 +327,5 @@ def _(spark, sf):
 
 @query("R13_quantiles", "SELECT source, round(quantile_cont(a,5e-2),9) AS q05, round(quantile_cont(a,25e-2),9) AS q25, round(quantile_cont(a,5e-1),9) AS q50, round(quantile_cont(a,75e-2),9) AS q75, round(quantile_cont(a,95e-2),9) AS q95 FROM branch GROUP BY 1")
 def _(spark, sf):
-    q = branch(spark, sf).groupBy("source").agg(F.percentile("a", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("q"))
+    q = metrics.quantiles(branch(spark, sf), ["source"], "a", [0.05, 0.25, 0.5, 0.75, 0.95])
     return q.select("source", *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(["q05", "q25", "q50", "q75", "q95"])])
