@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,17 +209,17 @@ def fit(spark: SparkSession, docs: DataFrame, lang: str = "lang", text: str = "t
 PREDICTED = "lang_pred string, score double, bits_per_byte double"
 
 
-def predict(spark: SparkSession, docs: DataFrame, trees: Trees | None, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+def predict(spark: SparkSession, docs: DataFrame, trees: Trees | Broadcast | None, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """Add ``lang_pred`` (shortest code; ties to the first name), ``score`` and
     ``bits_per_byte`` to the columns ``keep`` of every row.
 
     ``score`` is the posterior of the language with equal priors: 1 / sum of
-    2^(shortest - length). ``und`` with score 0 stands for null, empty and letterless
+    2^(shortest - length); ``trees`` may be a broadcast of them. ``und`` with score 0 stands for null, empty and letterless
     texts, and for all texts if nothing could be learned.
     """
     io.ship(spark)
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    shared = spark.sparkContext.broadcast(trees)
+    shared = trees if isinstance(trees, Broadcast) else spark.sparkContext.broadcast(trees)
     kept, n_kept = list(keep), len(keep)
     own = [] if text in kept else [F.col(text).alias("__text")]  # a text that is kept travels once
     at_text = kept.index(text) if text in kept else n_kept
