@@ -58,7 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat, or whose doc_id is null, are judged each for itself.
     """
     inner, names = _renamed(docs, "doc_id", "text", "lang")
-    trees = langid.fit(spark, inner.filter(langid.fold_of() != 0))
+    trees = spark.sparkContext.broadcast(langid.fit(spark, inner.filter(langid.fold_of() != 0)))
     limits = _limits(langid.predict(spark, inner.filter("lang is not null"), trees, keep=("lang",)))
     if not limits:
         return _restored(inner.limit(0), names)
