@@ -129,7 +129,7 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that do not see it already, and bound
     the batches that they get, whose rows may be long texts."""
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(bound, "0")) or 0) != BATCH_BYTES:
+    if spark.conf.get(bound) != f"{BATCH_BYTES}b":
         spark.conf.set(bound, f"{BATCH_BYTES}b")
     root = Path(__file__).resolve().parents[2]
     seen = [os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(":") + ["."]]
