@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -236,8 +237,9 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                part = batch.slice(at, 32)
+            sizes = sum(pc.coalesce(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            for at, end in slices(np.concatenate([[0], np.cumsum(sizes)])):
+                part = batch.slice(at, end - at)
                 a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 left_sets, right_sets = (sets_of(*string_buffers(part.column(c))) for c in (2, 3))
                 out = []
