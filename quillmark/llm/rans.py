@@ -250,6 +250,29 @@ class Tokenizer:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it.
+
+        Many pieces go to the library as one text: a space before a non-space begins a
+        pre-token, so tokens belong to the piece that their offset lies in. Pieces with
+        white space or the mark of a special token go alone.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if "<" not in p and not self.space.search(p)]
+        alone = sorted(set(range(len(pieces))) - set(plain))
+        for k, ids in zip(alone, self._library([" " + pieces[k] for k in alone]) if alone else [], strict=True):
+            out[k] = ids
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        texts = ["".join([" " + pieces[k] for k in group]) for group in groups]
+        for group, e in zip(groups, self.library.encode_batch(texts, add_special_tokens=False) if texts else [], strict=True):
+            begins = np.cumsum([0] + [len(pieces[k]) + 1 for k in group])
+            starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.offsets))
+            cuts = np.searchsorted(starts, begins).tolist()
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            for k, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
+                out[k] = raw[4 * a : 4 * b]
+        return out
+
     def _pieces(self, part: str) -> list[tuple[bool, str]]:
         """(space before it, text) of pieces whose ids, in turn, are those of a part.
 
@@ -316,8 +339,9 @@ class Tokenizer:
                     for spaced, piece in pieces:
                         want(spaced, piece)
         if missing:
-            for (spaced, piece), ids in zip(missing, self._library([" " + p if spaced else p for spaced, p in missing]), strict=True):
-                (known if spaced else heads)[piece] = ids
+            inner, first = [p for spaced, p in missing if spaced], [p for spaced, p in missing if not spaced]
+            known.update(zip(inner, self._spaced(inner), strict=True))
+            heads.update(zip(first, self._library(first) if first else [], strict=True))
         for p, pieces in composed.items():
             known[p] = b"".join([known[x] if spaced else heads[x] for spaced, x in pieces])
         for i, own in waiting:
