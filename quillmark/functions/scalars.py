@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 CANONICAL_SIDES = (224, 256, 299, 320, 336, 384, 392, 448, 512, 518, 600, 640, 768, 800, 1024, 2048)
 #: Openers that captioning models put before a description.
 CAPTION_OPENERS = ("The image shows ", "The image is ", "The image depicts ", "This image shows ", "In this image ")
+#: Letters whose upper case is several characters, and the single capital of those that have one.
+_SINGLE_CAPITALS = ("ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ")
+#: Letters that got a capital with Unicode 16; engines disagree on them, so they stay.
+_NEW_PAIRS = ("\u019b", "\u0264", "\u1c8a", "\ua7cd", "\ua7db", *map(chr, range(0x10D70, 0x10D86)))
 
 
 def segments(path: Column) -> Column:
@@ -111,11 +115,19 @@ def token_group(tokens: Column, order: list[str], other: str = "other") -> Colum
     return out.otherwise(F.lit(other))
 
 
-def clean_caption(text: Column) -> Column:
+def upper_letter(letter: Column) -> Column:
+    """Upper case of one character as one character: ß gives ẞ, and ŉ stays."""
+    upper = F.upper(letter)
+    return F.when((F.length(upper) == 1) & ~letter.isin(*_NEW_PAIRS), upper).otherwise(F.translate(letter, *_SINGLE_CAPITALS))
+
+
+def clean_caption(text: Column, openers: tuple[str, ...] = CAPTION_OPENERS) -> Column:
     """Without tags and an opener, white space collapsed, first letter upper case."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\s+", " "))
-    body = F.trim(F.regexp_replace(plain, "^(" + "|".join(CAPTION_OPENERS) + ")", ""))
-    return F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30))
+    trimmed = lambda c: F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+    body = trimmed(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\s+", " "))
+    if openers:
+        body = trimmed(F.regexp_replace(body, "^(" + "|".join(openers) + ")", ""))
+    return F.concat(upper_letter(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30))
 
 
 def sigmoid(x: Column) -> Column:

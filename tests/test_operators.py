@@ -311,3 +311,18 @@ def test_selection_and_errors(spark):
     with pytest.raises(ValueError):
         report.top_errors(g, 1, "xx", [])
     assert report.to_markdown(g.limit(1)).count("|") == 15
+
+
+def test_captions_of_pages_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    letters = [*range(0x20, 0x600), *range(0x1C80, 0x2100), *range(0xA640, 0xA7FF), *range(0xFB00, 0xFB20), *range(0x10D40, 0x10D90)]
+    html = [f"<b>{chr(c)}</b>{chr(c)}tail {chr(c)} " for c in letters] + ["<p> In this image a ", "The image shows x", "\u00a0\u3000nbsp\u2003", "", "<a>\n</a>", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(con.execute(e.oracle_sql()["P23_clean_caption"]).fetchall())
+    got = {r.page_id: r.caption for r in e.queries()["P23_clean_caption"](spark, str(tmp_path)).collect()}
+    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and len(got) == len(html)
