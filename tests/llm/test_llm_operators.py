@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,39 @@ def test_bpe_classes_of_all_characters():
         assert own.encode(t) == want.ids
 
 
+def test_bpe_words_beyond_ascii_cost_no_pattern_of_all_newer_letters():
+    raw = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    own, r = bpe_dp.PrefixBPE(bpe_dp.json.loads(raw), bpe_dp.newer_characters(raw)), random.Random(5)
+    words = ["".join(r.choice("abcdehitnorst") for _ in range(8)) for _ in range(4000)]
+
+    def seconds(chunks):
+        took = []
+        for _ in range(3):
+            own.forget()
+            began = time.thread_time()
+            for c in chunks:
+                own.encode(c)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert seconds([w + "é" for w in words]) < 2.5 * seconds([w + "e" for w in words])
+
+
+def test_bpe_workers_hold_no_words_after_a_task(spark, docs):
+    bpe_dp.encode_decode(spark, docs, public_tokenizers.path("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        from quillmark.llm import bpe_dp
+
+        for batch in batches:
+            own = list(bpe_dp._LOADED.values())
+            n = sum(len(x.words) + len(x.chunks) + len(x.old_words) + len(x.old_chunks) + len(x.pairs) for x in own)
+            yield pa.RecordBatch.from_pydict({"loaded": pa.array([len(own)], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    rows = spark.range(0, 64, 1, 32).mapInArrow(held, "loaded long, n long").collect()
+    assert any(x.loaded for x in rows) and not any(x.n for x in rows)
+
+
 def test_rans_tokenizer_on_random_strings():
     """Parts between spaces, looked up, give the ids of whole texts."""
     from tokenizers import Tokenizer
