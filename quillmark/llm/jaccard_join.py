@@ -99,7 +99,7 @@ def set_rows(spark: SparkSession, docs: DataFrame, seed: int) -> DataFrame:
                     names=["doc_id", "n", "node", "check"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, check long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(io.lean(run), "doc_id long, n long, node long, check long")
 
 
 ENTRY = "token long, salt int, doc_id long, node long, n int, end long"
@@ -145,7 +145,7 @@ def short_lists(spark: SparkSession, reps: DataFrame, frequent: np.ndarray, seed
                 columns = [tokens.view(np.int64), salt, *(np.repeat(x, sizes) for x in (docs_, nodes, np.array([len(s) for s in sets], np.int32), end))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "salt", "doc_id", "node", "n", "end"])
 
-    return reps.select("doc_id", "text").mapInArrow(run, ENTRY)
+    return reps.select("doc_id", "text").mapInArrow(io.lean(run), ENTRY)
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
             yield emit(held, None)
 
     sorted_ = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id", "node")
-    lists = io.staged(sorted_.mapInArrow(run, "token long, doc_id long, node long, n int, end long, center_doc long, center long"), "short_lists")
+    lists = io.staged(sorted_.mapInArrow(io.lean(run), "token long, doc_id long, node long, n int, end long, center_doc long, center long"), "short_lists")
     firsts = lists.filter("center is null").groupBy("token").agg(F.min(F.struct("doc_id", "node")).alias("f"))
     return lists.join(F.broadcast(firsts), "token", "left").select(
         "token", "node", "n", "end", F.coalesce("center_doc", "f.doc_id").alias("center_doc"), F.coalesce("center", "f.node").alias("center")
@@ -260,7 +260,7 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
                 )
 
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, VERIFIED)
+    return rows.mapInArrow(io.lean(run), VERIFIED)
 
 
 def _required(n: Column, m: Column) -> Column:

@@ -26,6 +26,8 @@ from quillmark.llm.textkit import slices, string_buffers
 ORDER = 3
 #: Documents a language that the trees are fitted on (expected number; chosen by hash).
 MAX_TRAIN_DOCS = 1500
+#: Bytes of text that are predicted at a time; each takes some 100 bytes of arrays.
+PREDICT_BYTES = 250_000
 _WORD = np.uint32
 
 #: Letters in lower case stay; every other ASCII byte reads as a space.
@@ -197,7 +199,7 @@ def fit(spark: SparkSession, docs: DataFrame, lang: str = "lang", text: str = "t
                             [pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"]
                         )
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(io.lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
     where = {name: i for i, name in enumerate(langs)}
@@ -233,7 +235,7 @@ def predict(spark: SparkSession, docs: DataFrame, trees: Trees | Broadcast | Non
         for batch in batches:
             data, offsets = string_buffers(batch.column(at_text))
             has = np.asarray(batch.column(at_lettered))
-            for a, b in slices(offsets, 1_000_000):
+            for a, b in slices(offsets, PREDICT_BYTES):
                 n = b - a
                 pred, score, rate = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n)
                 ok = has[a:b].astype(bool)
@@ -250,7 +252,7 @@ def predict(spark: SparkSession, docs: DataFrame, trees: Trees | Broadcast | Non
                     names=[*kept, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    return docs.select(*kept, *own, lettered.alias("__lettered")).mapInArrow(run, schema)
+    return docs.select(*kept, *own, lettered.alias("__lettered")).mapInArrow(io.lean(run), schema)
 
 
 def fold_of(key: str = "doc_id") -> F.Column:

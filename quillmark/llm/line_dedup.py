@@ -78,7 +78,7 @@ def chunk_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 )
 
     known = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(run, CHUNKS)
+    return known.mapInArrow(io.lean(run), CHUNKS)
 
 
 def chunk_copies(anchors: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _cut_bytes(spark: SparkSession, rows: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.binary())], names=[*FIRST, "bytes"]
             )
 
-    return rows.mapInArrow(run, "first_doc long, first_start long, first_end long, bytes binary")
+    return rows.mapInArrow(io.lean(run), "first_doc long, first_start long, first_end long, bytes binary")
 
 
 REMOVED = "n_removed", "removed_bytes"
@@ -186,4 +186,4 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(size)], names=[*names, *REMOVED])
 
     zero = F.lit(0).cast("long")
-    return joined.mapInArrow(run, schema).union(others.select(*docs.columns, zero.alias("n_removed"), zero.alias("removed_bytes")))
+    return joined.mapInArrow(io.lean(run), schema).union(others.select(*docs.columns, zero.alias("n_removed"), zero.alias("removed_bytes")))
