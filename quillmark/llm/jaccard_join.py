@@ -16,8 +16,10 @@ compared by their differences D from the center C only:
 |A & B| = |A & C| + |B & C| - |C| + |D_A & D_B|, so a pair links if its differences share
 T + |C| - |A & C| - |B & C| entries or more. That is positive unless both link with C and
 are in one component already, so a prefix of the rarest differences finds every pair, and
-a large group of near copies isn't squared. All other pairs between components meet in
-the short lists.
+a large group of near copies isn't squared. A set of another family that meets a crowd of
+members in a short list is a guest of that family: it is compared with the center, once,
+and meets the members by its differences as well, never each of them in the list. All
+other pairs between components meet in the short lists.
 """
 
 from __future__ import annotations
@@ -227,13 +229,15 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
     """Sizes and overlap of each of ``pairs`` (a, b), and whether it links.
 
     The shingles of a are probed in b's sorted array by binary search. ``delta`` holds the
-    shingles that only one of them has, for pairs of one family, if ``with_delta``.
+    shingles that only one of them has, if ``with_delta``: for pairs of one family, or, where
+    ``pairs`` have a column ``least``, for those with that overlap or more.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = io.staged(ids.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), "pair_nodes")
     maybe, _ = io.parted(reps.select("doc_id", "text"), named)
     texts = maybe.join(named, "doc_id").select("node", "text")
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    given = "least" in pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +246,7 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
                 part = batch.slice(at, end - at)
                 a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 left_sets, right_sets = (sets_of(*string_buffers(part.column(c))) for c in (2, 3))
+                least = part.column(4).to_numpy(zero_copy_only=False) if given else None
                 out = []
                 for k, (x, y) in enumerate(zip(left_sets, right_sets, strict=True)):
                     # rows of other texts under the same doc_id aren't meant
@@ -250,7 +255,7 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
                     hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                     i, n, m = int(hit.sum()), len(x), len(y)
                     delta = None
-                    if with_delta and FAMILY * i >= n + m:
+                    if with_delta and (i >= least[k] if given else FAMILY * i >= n + m):
                         delta = np.concatenate([x[~hit], np.setdiff1d(y, x[hit], assume_unique=True)]).view(np.int64)
                     out.append((int(a[k]), int(b[k]), i >= needed(n, m), i, n, m, delta))
                 cols = list(zip(*out, strict=True)) or [()] * 7
@@ -259,7 +264,7 @@ def verified(spark: SparkSession, reps: DataFrame, nodes: DataFrame, pairs: Data
                     [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "linked", "overlap", "na", "nb", "delta"]
                 )
 
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", *["least"] * given)
     return rows.mapInArrow(io.lean(run), VERIFIED)
 
 
@@ -283,15 +288,16 @@ def _least_count() -> Column:
     return _required(F.col("na"), F.col("nb")) - beyond
 
 
-def family_pairs(tested: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of members of one family, in different components, whose differences from
-    the center may share enough.
+def family_pairs(tested: DataFrame, guests: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of members of one family, or of a member and a guest, in different components,
+    whose differences from the center may share enough.
 
     Differences are ordered from the rarest of the family on; with ``need`` shared ones
     the first of them is among the d - need + 1 first of either side.
     """
-    member = tested.filter("delta is not null").select(
-        F.col("a").alias("node"), F.col("b").alias("family"), F.col("na").alias("n"), F.col("nb").alias("c"), F.col("overlap").alias("o"), "linked", "delta"
+    both = tested.withColumn("guest", F.lit(False)).union(guests.withColumn("guest", F.lit(True)))
+    member = both.filter("delta is not null").select(
+        F.col("a").alias("node"), F.col("b").alias("family"), F.col("na").alias("n"), F.col("nb").alias("c"), F.col("overlap").alias("o"), "linked", "guest", "delta"
     )
     placed = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = io.staged(placed, "family_members")
@@ -302,30 +308,29 @@ def family_pairs(tested: DataFrame, roots: DataFrame) -> DataFrame:
     threshold = _required(F.col("n"), F.col("c"))
     n, c, o = F.col("n"), F.col("c"), F.col("o")
     need = F.when(F.col("linked"), F.floor((3 * n + 4 * c) / 7) - o).otherwise(threshold - o)
-    rows = placed.withColumn("salt", salt).join(open_, ["family", "salt"]).select("family", "node", "n", "c", "o", "root", F.greatest(need, F.lit(1)).alias("need"), F.size("delta").alias("d"), F.explode("delta").alias("token"))
+    rows = placed.withColumn("salt", salt).join(open_, ["family", "salt"]).select("family", "node", "n", "c", "o", "root", "linked", "guest", F.greatest(need, F.lit(1)).alias("need"), F.size("delta").alias("d"), F.explode("delta").alias("token"))
     rows = io.staged(rows, "family_lists")
     often = rows.groupBy("family", "token").agg(F.count("*").alias("times"))
-    place = W.partitionBy("node").orderBy("times", "token")
+    place = W.partitionBy("family", "node").orderBy("times", "token")
     ranked = rows.join(often, ["family", "token"]).withColumn("at", F.row_number().over(place))
     ranked = io.staged(ranked.filter((F.col("times") > 1) & (F.col("at") <= F.col("d") - F.col("need") + 1)), "family_prefixes")
     x, y = (
-        ranked.select("family", "token", "c", *[F.col(k).alias(f"{k}{side}") for k in ("node", "n", "o", "root", "d", "at")]) for side in "ab"
+        ranked.select("family", "token", "c", *[F.col(k).alias(f"{k}{side}") for k in ("node", "n", "o", "root", "linked", "guest", "d", "at")]) for side in "ab"
     )
     shared = _required(F.col("na"), F.col("nb")) + x["c"] - F.col("oa") - F.col("ob")
+    # two that link with the center are connected; two guests meet elsewhere
+    apart = (F.col("roota") != F.col("rootb")) & ~(F.col("linkeda") & F.col("linkedb")) & ~(F.col("guesta") & F.col("guestb"))
     met = x.join(
         y.drop("c"),
-        (x["family"] == y["family"]) & (x["token"] == y["token"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb"))
+        (x["family"] == y["family"]) & (x["token"] == y["token"]) & (F.col("nodea") < F.col("nodeb")) & apart
         & _close(F.col("na"), F.col("nb")) & (F.col("ata") <= F.col("da") - shared + 1) & (F.col("atb") <= F.col("db") - shared + 1),
     )
     return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
-def other_pairs(lists: DataFrame, tested: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of different components and families that meet often enough in short lists.
-
-    Where GROUP or more entries of a list are of one family, they meet the others of the
-    list by that family's name and are never set against each other.
-    """
+def open_entries(lists: DataFrame, tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the lists that hold different components and families, with the number
+    ``s`` of their node's, and whether GROUP or more of their list are of their family."""
     family = tested.filter("delta is not null").select(F.col("a").alias("node"), F.col("b").alias("family"))
     placed = lists.select("token", "node", "n", "end").join(roots, "node", "left").join(family, "node", "left")
     placed = io.staged(placed.select("token", "node", "n", "end", F.coalesce("root", "node").alias("root"), F.coalesce("family", "node").alias("family")), "placed")
@@ -336,27 +341,48 @@ def other_pairs(lists: DataFrame, tested: DataFrame, roots: DataFrame) -> DataFr
     times = open_.groupBy("node").agg(F.count("*").alias("s"))
     crowds = open_.groupBy("token", "family").agg(F.count("*").alias("k")).filter(F.col("k") >= GROUP).select("token", "family", F.lit(True).alias("crowd"))
     crowds = io.staged(crowds, "crowds")
-    every = io.staged(open_.join(times, "node").join(crowds, ["token", "family"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))), "open_entries")
+    return io.staged(open_.join(times, "node").join(crowds, ["token", "family"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))), "open_entries")
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        short = {"node": "", "n": "n", "end": "e", "root": "r", "s": "s", "family": "f", "crowd": "w"}
-        return rows.select("token", *[F.col(k).alias(f"{v}{name}") for k, v in short.items()])
 
-    def fits() -> Column:
-        apart = (F.col("ra") != F.col("rb")) & (F.col("fa") != F.col("fb")) & (F.col("fa") != F.col("b")) & (F.col("fb") != F.col("a"))
-        return apart & _close(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= _least_count())
+def guests_of(every: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b, least): a node, the center of another family of which it meets a crowd in a
+    list, and the overlap with it from which on it may link with a member.
 
-    single = every.filter("not crowd")
-    x, y = side(single, "a"), side(single, "b")
-    alone = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & fits()).drop(y["token"])
-    x = side(every, "a").join(crowds.select("token", F.col("family").alias("met")), "token")
-    x = x.filter((F.col("fa") != F.col("met")) & (~F.col("wa") | (F.col("fa") < F.col("met"))))
-    y = side(every.filter("crowd"), "b")
-    crowded = x.join(y, (x["token"] == y["token"]) & (F.col("met") == F.col("fb")) & fits()).drop(y["token"]).drop("met")
-    columns = ["na", "nb", "ea", "eb"]
-    met = alone.select("a", "b", *columns).union(crowded.select("a", "b", *columns))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in columns])
-    return counted.filter(F.col("times") >= _least_count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    Left out is who shares too few lists with all of the family: 3 (n + m) / 7 less 3 / 4
+    of the larger size is the least for a link, which over the sizes m of the family is
+    smallest at one end. A link with a member B takes |A & C| + |B| - |B & C| >= T, so
+    7 |A & C| >= 3 |A| + 7 |B & C| - 4 |B|.
+    """
+    of = tested.filter("delta is not null").groupBy(F.col("b").alias("met")).agg(
+        F.min(F.least("na", "nb")).alias("lo"), F.max(F.greatest("na", "nb")).alias("hi"), F.min(F.col("overlap") * 7 - F.col("na") * 4).alias("far")
+    )
+    crowds = every.filter("crowd").select("token", F.col("family").alias("met")).distinct()
+    # of two crowds of a list one is the other's guest
+    x = every.join(crowds, "token").filter((F.col("family") != F.col("met")) & (F.col("node") != F.col("met")) & (~F.col("crowd") | (F.col("family") < F.col("met"))))
+    x = io.staged(x.select("node", "n", "met").distinct(), "guests")
+    there = every.join(x.select(F.col("met").alias("family")).distinct(), "family", "left_semi").select("token", F.col("family").alias("met")).distinct()
+    shared = every.select("node", "token").join(x, "node").join(there, ["token", "met"]).groupBy("node", "n", "met").agg(F.count("*").alias("k"))
+    n = F.col("n")
+    low, high = F.greatest("lo", F.ceil(n * 3 / 4)), F.least("hi", F.floor(n * 4 / 3))
+    ends = [(n + m) * 12 - F.greatest(n, m) * 21 for m in (low, high)]
+    may = shared.join(of, "met").filter((low <= high) & (F.col("k") * 28 > F.least(*ends)))
+    return may.select(F.col("node").alias("a"), F.col("met").alias("b"), F.ceil((n * 3 + F.col("far")) / 7).alias("least"))
+
+
+def other_pairs(every: DataFrame) -> DataFrame:
+    """(a, b) of different components and families that meet often enough in short lists,
+    where neither is one of a crowd (those have guests)."""
+
+    def side(name: str) -> DataFrame:
+        short = {"node": "", "n": "n", "end": "e", "root": "r", "s": "s", "family": "f"}
+        return every.filter("not crowd").select("token", *[F.col(k).alias(f"{v}{name}") for k, v in short.items()])
+
+    x, y = side("a"), side("b")
+    apart = (F.col("ra") != F.col("rb")) & (F.col("fa") != F.col("fb")) & (F.col("fa") != F.col("b")) & (F.col("fb") != F.col("a"))
+    fits = apart & _close(F.col("na"), F.col("nb")) & (F.least("sa", "sb") >= _least_count())
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & fits).drop(y["token"])
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("na", "nb", "ea", "eb")])
+    return counted.filter(F.col("times") >= _least_count()).select("a", "b")
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -419,9 +445,12 @@ def link_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = tested.filter("linked").select("a", "b")
     roots = components(spark, first)
 
-    pairs = io.staged(family_pairs(tested, roots).union(other_pairs(lists, tested, roots)).distinct(), "candidates")
+    every = open_entries(lists, tested, roots)
+    guests = verified(spark, reps, nodes, io.staged(guests_of(every, tested), "tries"), seed, with_delta=True)
+    guests = io.staged(guests, "guests_tested")
+    pairs = io.staged(family_pairs(tested, guests, roots).union(other_pairs(every)).distinct(), "candidates")
     second = verified(spark, reps, nodes, pairs, seed).filter("linked").select("a", "b")
-    links = io.staged(first.union(second), "links")
+    links = io.staged(first.union(guests.filter("linked").select("a", "b")).union(second), "links")
     roots = components(spark, links)
     io.drop(reps)
 

@@ -220,6 +220,77 @@ def test_jaccard_family_of_edited_copies(spark):
     assert got == brute_components(rows)
 
 
+def edited(r, words, most, names):
+    w = list(words)
+    for _ in range(r.randint(1, most)):
+        w[r.randrange(len(w))] = f"{names}{r.randrange(400)}"
+    return w
+
+
+def crowd_and_strangers(r, members, strangers):
+    """A large family of edited copies; texts that share half of its origin and link with
+    nothing; a few between, which link with some members or with the origin only."""
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    out = [base, *(edited(r, base, 4, "e") for _ in range(members))]
+    for k in range(strangers):
+        at = r.randrange(55, 65)
+        out.append(base[:at] + [f"s{k}x{i}" for i in range(120 - at)])
+    for k in range(40):
+        w = edited(r, out[r.randrange(len(out) - strangers)], 2, "e")
+        w[-r.randint(8, 30) :] = [f"b{k}y{i}" for i in range(r.randint(8, 30))]
+        out.append(w)
+    second = base[:60] + [f"z{r.randrange(5000)}" for _ in range(60)]
+    out += [second, *(edited(r, second, 4, "f") for _ in range(members // 2))]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("group, family", [(64, 5), (3, 3)])
+def test_jaccard_crowd_with_guests(spark, monkeypatch, group, family):
+    """Members of a crowd, and sets of other families that meet it, linked or not."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "FAMILY", family)
+    rows = crowd_and_strangers(random.Random(group), 150, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(spark, df).collect())
+    assert got == brute_components(rows)
+
+
+def most_rows_of_a_join(spark, since):
+    """The most rows that a join of one of the executions from number ``since`` on made."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    most, runs = 0, store.executionsList()
+    for k in range(runs.size()):
+        i = runs.apply(k).executionId()
+        if i < since:
+            continue
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for j in range(nodes.size()):
+            if "Join" in nodes.apply(j).name():
+                metrics = nodes.apply(j).metrics()
+                for m in range(metrics.size()):
+                    if metrics.apply(m).name() == "number of output rows":
+                        found = values.get(metrics.apply(m).accumulatorId())
+                        most = max(most, int(found.get().replace(",", "")) if found.isDefined() else 0)
+    return most
+
+
+def test_jaccard_crowd_is_not_joined_with_strangers(spark, monkeypatch):
+    """Texts of no large family that meet a crowd in many short lists and link with none of
+    it make no row for each of them and each member."""
+    monkeypatch.setattr(jaccard_join, "FAMILY", 3)
+    base = [f"w{i}" for i in range(120)]
+    other = base[:80] + [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join([*(base if i <= 300 else other)[:-1], f"e{i}"])) for i in range(335)]
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = 1 + max([runs.apply(k).executionId() for k in range(runs.size())], default=-1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.link_documents(spark, df).collect())
+    assert got == brute_components(rows)
+    most = most_rows_of_a_join(spark, since)
+    assert 0 < most < 100 * len(rows), most
+
+
 def test_topk_equals_brute_force(spark):
     r = np.random.default_rng(2)
     centers = r.normal(size=(6, 8))
